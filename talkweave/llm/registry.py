@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bloom_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op8_language_id
+from .simhash_forest import op10_simhash_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op10_simhash_forest": op10_simhash_forest,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
