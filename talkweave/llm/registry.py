@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op2_bpe
 from .bloom_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op8_language_id
+from .mixing import OP6_SQL, op6_source_mixing
 from .simhash_forest import op10_simhash_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op8_language_id": op8_language_id,
     "op10_simhash_forest": op10_simhash_forest,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL}
