@@ -10,6 +10,7 @@ from .bpe import op2_bpe
 from .bloom_dedup import OP3_SQL, op3_exact_dedup
 from .langid import op8_language_id
 from .mixing import OP6_SQL, op6_source_mixing
+from .paragraphs import op7_paragraph_dedup
 from .quality import op1_quality_fm
 from .simhash_forest import op10_simhash_forest
 from .toxicity import op9_toxic_segments
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_language_id": op8_language_id,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_simhash_forest": op10_simhash_forest,
