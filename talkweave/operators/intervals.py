@@ -15,13 +15,153 @@ from pyspark.sql import functions as F
 
 
 def proper(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows that hold at least one point."""
     return df.where(F.col(start) < F.col(end))
 
 
 def normalise(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Sorted, disjoint, non-touching intervals of each key: one exchange, one sort."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """Sorted, disjoint, non-touching intervals of each key: one exchange, one sort.
+
+    Range frames make rows of equal start peers, so ties can't split an interval.
+    """
+    w = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(end).over(w.rangeBetween(Window.unboundedPreceding, -1))
     flagged = proper(df, start, end).select(*keys, start, end).withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    island = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = flagged.withColumn("_island", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def union(keys: Sequence[str], *sets: DataFrame) -> DataFrame:
+    """Points in any of the sets; one normalisation at the end of the chain."""
+    head, *rest = (s.select(*keys, "start", "end") for s in sets)
+    for other in rest:
+        head = head.unionByName(other)
+    return normalise(head, keys)
+
+
+def clip(df: DataFrame, low: Column | int, high: Column | int, rebase: bool = False) -> DataFrame:
+    """What lies within ``[low, high)``; with ``rebase`` counted from ``low``."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    shift = low if rebase else F.lit(0)
+    cut = df.withColumns({"start": F.greatest("start", low) - shift, "end": F.least("end", high) - shift})
+    return proper(cut)
+
+
+def clear(df: DataFrame, low: Column | int, high: Column | int) -> DataFrame:
+    """What lies outside ``[low, high)``: true subtraction, so shared boundaries cut as well. An empty window takes nothing."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    parts = F.when(
+        low < high,
+        F.array(F.struct(F.col("start").alias("s"), F.least("end", low).alias("e")), F.struct(F.greatest("start", high).alias("s"), F.col("end").alias("e"))),
+    ).otherwise(F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))))
+    cut = proper(df).withColumn("_p", F.explode(parts)).withColumns({"start": F.col("_p.s"), "end": F.col("_p.e")}).drop("_p")
+    return proper(cut)
+
+
+def _sweep(keys: Sequence[str], sides: Sequence[DataFrame]) -> DataFrame:
+    """Elementary pieces ``[start, end)`` of each key with n0, n1, ..: how many intervals of each side cover them."""
+    events = None
+    for k, side in enumerate(sides):
+        p = proper(side)
+        for at, step in (("start", 1), ("end", -1)):
+            part = p.select(*keys, F.col(at).alias("at"), *(F.lit(step if j == k else 0).alias(f"d{j}") for j in range(len(sides))))
+            events = part if events is None else events.unionByName(part)
+    steps = events.groupBy(*keys, "at").agg(*(F.sum(f"d{j}").alias(f"d{j}") for j in range(len(sides))))
+    w = Window.partitionBy(*keys).orderBy("at")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *(F.sum(f"d{j}").over(run).alias(f"n{j}") for j in range(len(sides)))).where("end is not null")
+
+
+def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points in both sets of each key, by one sweep and no join."""
+    return normalise(_sweep(keys, (a, b)).where("n0 > 0 and n1 > 0"), keys)
+
+
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points of ``a`` that ``b`` doesn't have."""
+    return normalise(_sweep(keys, (a, b)).where("n0 > 0 and n1 = 0"), keys)
+
+
+def concurrency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many intervals cover each stretch: (keys, start, end, n), stretches of equal n joined, n = 0 left out."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    pieces = _sweep(keys, (df,)).withColumnRenamed("n0", "n")
+    joined = (F.lag("end").over(w) == F.col("start")) & (F.lag("n").over(w) == F.col("n"))
+    pieces = pieces.withColumn("_new", F.when(joined, 0).otherwise(1))
+    pieces = pieces.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(*keys, "_run", "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run").where("n > 0")
+
+
+def runs(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
+    """Run-length code: (keys, value, start, end) of stretches of equal ``value`` at successive positions."""
+    w = Window.partitionBy(*keys).orderBy(position)
+    same = F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.lag(position).over(w) == F.col(position) - 1)
+    marked = df.withColumn("_new", F.when(same, 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, value, "_run").agg(F.min(position).alias("start"), (F.max(position) + 1).alias("end")).drop("_run")
+
+
+def from_flags(df: DataFrame, keys: Sequence[str], flags: str) -> DataFrame:
+    """Intervals where an ``array<boolean>`` column is true (nulls are false)."""
+    rows = df.select(*keys, F.posexplode(F.col(flags)).alias("_at", "_on")).where("_on").withColumn("_at", F.col("_at").cast("bigint"))
+    return runs(rows, keys, "_at", "_on").drop("_on")
+
+
+def assign(df: DataFrame, flags: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
+    """The set with ``[low, high)`` replaced by the flags of each key (their length must be ``high - low``)."""
+    sized = flags.withColumn("_flags", F.when(F.size("flags") == high - low, F.col("flags")).otherwise(F.raise_error(F.lit("the flags don't fit the window")).cast("array<boolean>")))
+    new = from_flags(sized, keys, "_flags").withColumns({"start": F.col("start") + low, "end": F.col("end") + low})
+    return union(keys, clear(normalise(df, keys), low, high), new)
+
+
+def encode(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key's set as text, ``"1:4, 5:20"``; a set without points has no row here."""
+    items = F.sort_array(F.collect_list(F.struct("start", "end")))
+    text = F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ", ")
+    return normalise(df, keys).groupBy(*keys).agg(text.alias("intervals"))
+
+
+def decode(df: DataFrame, keys: Sequence[str], text: str = "intervals") -> DataFrame:
+    """Intervals from their text form; an empty or null text has none, anything malformed raises."""
+    item = F.explode(F.split(F.trim(F.col(text)), r"\s*,\s*"))
+    rows = df.where(F.trim(F.col(text)) != "").select(*keys, item.alias("_i"))
+    good = F.col("_i").rlike(r"^-?\d+:-?\d+$")
+    part = F.when(good, F.split("_i", ":")).otherwise(F.raise_error(F.concat(F.lit("no interval: "), F.col("_i"))).cast("array<string>"))
+    return proper(rows.withColumn("_p", part).select(*keys, F.get("_p", F.lit(0)).cast("bigint").alias("start"), F.get("_p", F.lit(1)).cast("bigint").alias("end")))
+
+
+def window(length: int | None, start: int | None, stop: int | None, step: int | None = None) -> tuple[int, int]:
+    """A slice as ``(low, high)``: no step, ``0 <= start``, and nothing beyond ``length`` if there is one."""
+    if step is not None:
+        raise ValueError("a slice of intervals has no step")
+    low = 0 if start is None else start
+    high = length if stop is None else stop
+    if high is None:
+        raise ValueError("an unbounded set needs a stop")
+    if low < 0 or high < 0 or (length is not None and max(low, high) > length):
+        raise ValueError(f"[{low}, {high}) lies outside [0, {length})")
+    return low, high
+
+
+def noise_class(df: DataFrame, lengths: DataFrame, key: str, noise: bool | int | None, speaker: str = "speaker") -> DataFrame:
+    """Adds noise classes to an activity table: True one that is always on, False one that never is, None none, k > 0 that many always on.
+
+    ``lengths`` has (key, length). An always-off class is a class without intervals, so it adds no row; it is
+    listed by ``classes``.
+    """
+    if noise is None or noise is False:
+        return df
+    if noise is not True and (not isinstance(noise, int) or noise <= 0):
+        raise ValueError(f"no noise class {noise!r}")
+    names = ["Noise"] if noise is True else [f"Noise{k}" for k in range(noise)]
+    always = lengths.select(key, F.explode(F.array(*(F.lit(n) for n in names))).alias(speaker), F.lit(0).cast("bigint").alias("start"), F.col("length").cast("bigint").alias("end"))
+    return df.select(key, F.col(speaker).cast("string").alias(speaker), "start", "end").unionByName(always)
+
+
+def classes(df: DataFrame, key: str, noise: bool | int | None, speaker: str = "speaker") -> DataFrame:
+    """(key, class_idx, speaker): the classes in their order, speakers first, then noise."""
+    own = df.select(key, F.col(speaker).cast("string").alias(speaker)).distinct()
+    per = own.groupBy(key).agg(F.sort_array(F.collect_list(speaker)).alias("_c"))
+    names = [] if noise is None else ["Noise"] if isinstance(noise, bool) else [f"Noise{k}" for k in range(noise)]
+    every = F.concat("_c", F.array(*(F.lit(n) for n in names)).cast("array<string>"))
+    return per.select(key, F.posexplode(every).alias("class_idx", speaker))
