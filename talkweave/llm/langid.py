@@ -166,12 +166,16 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, max_e
                 whole += [True] + [False] * (len(parts) - 1)
     fit = fit or held
     held, whole = (held, whole) if held else (fit, [True] * len(fit))
-    column = pa.array([c for c, _ in fit])
-    data, offsets = _padded(column)
-    found = [(h[np.flatnonzero(ok)], np.searchsorted(offsets, np.flatnonzero(ok) + lo, "right") - 1) for h, ok, lo in subwords(data, offsets)]
-    h, row = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    h, row, n = kernel.distinct(h, row)
-    ends = np.searchsorted(row, np.arange(len(fit) + 1))
+    column, parts, done = pa.array([c for c, _ in fit]), [], 0
+    for lo, hi in kernel.groups(column, 1 << 19):  # only distinct subwords of each text are held
+        data, offsets = _padded(column.slice(lo, hi - lo))
+        found = [(h[at], np.searchsorted(offsets, at + lo_, "right") - 1) for h, ok, lo_ in subwords(data, offsets) for at in (np.flatnonzero(ok),)]
+        h, row, n = kernel.distinct(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+        parts.append((h.astype(np.int32), n.astype(np.float32), done + np.searchsorted(row, np.arange(1, hi - lo + 1))))
+        done += len(h)
+    h, n, ends = (np.concatenate(x) for x in zip(*parts))
+    ends = np.append(0, ends)
+    del column, parts
     label = np.array([k for _, k in fit])
     balance = len(label) / (len(langs) * np.maximum(np.bincount(label, minlength=len(langs)), 1))
     embed = np.zeros((BUCKETS, DIMS))
@@ -198,7 +202,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, max_e
     shares[:-1] = np.clip(np.rint(embed @ weight * SCALE), -(2**31) + 1, 2**31 - 1).T
     shares[-1, used] = SCALE
     model = Model(langs, shares, bias)
-    z, count = model.logits(pa.array([c for c, _ in held]))
+    column = pa.array([c for c, _ in held])
+    z, count = (np.concatenate(x) for x in zip(*(model.logits(column.slice(lo, hi - lo)) for lo, hi in kernel.groups(column, 1 << 19))))
     some = count > 0
     truth, whole = np.array([k for _, k in held])[some], np.array(whole)[some]
     z, seen = z[some, :-1], z[some, -1]
