@@ -38,7 +38,7 @@ from . import common, kernel
 BUCKETS = 1 << 17
 DIMS = 12
 SCALE = 1 << 20
-FLOOR, CEILING = 0.25, 0.6
+FLOOR, CEILING = 0.25, 0.45
 
 _LETTER = kernel.WORD.copy()
 _LETTER[list(b"0123456789")] = False
