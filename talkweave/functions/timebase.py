@@ -8,6 +8,8 @@ nulls.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,21 +106,33 @@ def add_context(df: DataFrame, samples: int | tuple[int, ...] | dict[str, int |
     """Multi-clock times widened on every clock, by branch if a dict is given; with ``equal_start`` all clocks use the least context that any gets."""
     per = samples if isinstance(samples, dict) else {b: samples for b in (*BRANCHES, "original")}
     got = {b: _context(per.get(b, 0)) for b in (*BRANCHES, "original")}
+    zero = F.lit(0).cast("bigint")
+
+    def reached(s: Column, n: int) -> Column:
+        return F.least(s, F.lit(n).cast("bigint"))
+
     least = None
     if equal_start:
-        leaf = [F.transform(F.map_values(F.col(f"start.{b}")), lambda s, n=got[b][0]: F.least(s, F.lit(n).cast("bigint"))) for b in BRANCHES]
-        leaf.append(F.array(F.least(F.col("start.original"), F.lit(got["original"][0]).cast("bigint"))))
+        leaf = [_each(F.map_values(F.col(f"start.{b}")), lambda s, b=b: reached(s, got[b][0])) for b in BRANCHES]
+        leaf.append(F.array(reached(F.col("start.original"), got["original"][0])))
         least = F.array_min(F.concat(*(F.coalesce(x, F.array().cast("array<bigint>")) for x in leaf)))
 
-    def begin(s: Column, n: int) -> Column:
-        return s - least if least is not None else F.greatest(s - n, F.lit(0).cast("bigint"))
+    def begin(s: Column, b: str) -> Column:
+        return s - least if least is not None else F.greatest(s - got[b][0], zero)
 
-    start = F.struct(*(F.transform_values(F.col(f"start.{b}"), lambda _, s, n=got[b][0]: begin(s, n)).alias(b) for b in BRANCHES), begin(F.col("start.original"), got["original"][0]).alias("original"))
-    end = F.struct(*(F.transform_values(F.col(f"end.{b}"), lambda _, e, n=got[b][1]: e + n).alias(b) for b in BRANCHES), (F.col("end.original") + got["original"][1]).alias("original"))
+    def branch(at: str, b: str) -> Column:
+        return F.transform_values(F.col(f"{at}.{b}"), (lambda _, s: begin(s, b)) if at == "start" else (lambda _, e: e + got[b][1])).alias(b)
+
+    start = F.struct(*(branch("start", b) for b in BRANCHES), begin(F.col("start.original"), "original").alias("original"))
+    end = F.struct(*(branch("end", b) for b in BRANCHES), (F.col("end.original") + got["original"][1]).alias("original"))
     df = df.withColumns({"start": start, "end": end})
     return df.withColumn("num_samples", duration(F.col("start"), F.col("end")))
 
 
+def _each(array: Column, fn: Callable[..., Column]) -> Column:
+    return F.transform(array, lambda x: fn(x))
+
+
 def without_context(signal: Column, start: Column, start_orig: Column, num_samples_orig: Column) -> Column:
     """The part of an array that the utterance had before its context was added."""
     return F.slice(signal, (start_orig - start + 1).cast("int"), num_samples_orig.cast("int"))

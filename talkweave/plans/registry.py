@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intervals
+from . import examples, intervals, times
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals,):
+for module in (intervals, times, examples):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
