@@ -169,17 +169,16 @@ FROM merged WHERE "start" < {HI} AND "end" > {LO} GROUP BY ALL"""
 
 
 def utterance_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every tenth utterance: what the others of its session say meanwhile, counted from its start."""
+    """For every utterance: what is said in its session meanwhile, counted from its start."""
     a = activity(spark, sf_dir)
-    windows = a.where(F.col("utt") % 10 == 0).select("session", F.col("utt").alias("window_id"), "start", "end")
+    windows = a.select("session", F.col("utt").alias("window_id"), "start", "end")
     got = ov.window_slice(a.select("session", "speaker", "start", "end"), windows, ["session"], ov.HOUR_US)
     return got.groupBy("session", "window_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
 Q["utterance_activity_slice"] = utterance_slices
 S["utterance_activity_slice"] = f"""WITH {ACTIVITY} SELECT w.session, w.utt AS window_id, count(*) AS n, CAST(sum(greatest(a."start", w."start") - w."start") AS BIGINT) AS starts,
-  CAST(sum(least(a."end", w."end") - w."start") AS BIGINT) AS ends FROM activity w JOIN activity a ON w.session = a.session AND a."start" < w."end" AND w."start" < a."end"
-WHERE w.utt % 10 = 0 GROUP BY ALL"""
+  CAST(sum(least(a."end", w."end") - w."start") AS BIGINT) AS ends FROM activity w JOIN activity a ON w.session = a.session AND a."start" < w."end" AND w."start" < a."end" WHERE w."start" < w."end" AND a."start" < a."end" GROUP BY ALL"""
 
 LENGTH, SHIFT = 1024, 256
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import examples, intervals, times
+from . import annotations, examples, intervals, numeric, times
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, times, examples):
+for module in (intervals, times, examples, numeric, annotations):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
