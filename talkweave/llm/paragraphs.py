@@ -1,23 +1,26 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-A *paragraph* here is a run of words between two content-defined cuts: a word
-starts one if the hash of it and its successor is the least within ``REACH``
-words on both sides.  Cuts depend on nearby words only, so a passage that is
-pasted into the middle of another document's line has the same paragraphs
-there but for those at its two ends; line breaks and punctuation don't matter.
-Paragraphs have 11 words on average; those of fewer than ``LEAST_WORDS`` words
-aren't compared.
+A *paragraph* here is a run of words between two cuts.  Line ends cut, and so
+does, within a line, each word whose hash with its successor's is the least
+within ``REACH`` words on both sides.  These cuts depend on nearby words only, so a
+passage that is pasted into the middle of another document's line has the same
+paragraphs there but for those at its two ends; punctuation doesn't matter.
+Paragraphs of fewer than ``LEAST_WORDS`` words aren't compared.
 
 Identical paragraphs share a 64-bit content hash of all words.  For the others,
 each paragraph's three-word shingles get ``bands * ROWS`` MinHashes; bands are
 tuned so that a pair at the Jaccard threshold collides with the target
 probability.  Contents that collide in any band are joined (all pairs of
 distinct contents, uncapped) and verified by exact Jaccard on the shingles;
-verified pairs are clustered by connected components.  Of each cluster the
+verified pairs are clustered by connected components.  Four rows a band keep
+pairs that share but a phrase of common words from colliding.  Keys travel in
+packed blocks, 15 bytes a key, content and number of shingles, one block for
+each task and part; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
 first occurrence (least doc_id, then place) stays.
 
-A repeated *passage* is a run of adjoining paragraphs of a document that go;
-it is reported if it has ``min_words`` words, so a shared heading alone is not
+A repeated *passage* is a run of paragraphs of a document that go, with gaps of
+fewer than ``LEAST_WORDS`` words (such as lines too short to compare); it is
+reported if it spans ``min_words`` words, so a shared heading alone is not
 enough.
 
 Cases: null texts and null ids have no paragraphs, empty ones neither; texts
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from . import common, kernel
 from .components import components
 
-REACH, LEAST_WORDS, SHINGLE, ROWS = 5, 6, 3, 2
+REACH, LEAST_WORDS, SHINGLE, ROWS = 5, 6, 3, 4
 JACCARD, RECALL, MIN_WORDS = 0.8, 0.95, 20
 
 
@@ -67,6 +70,8 @@ def cut(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
         low[:-k] &= ~here | (v[:-k] <= v[k:])
     low[1:] |= ~same[:-1]
     low[0] = True
+    breaks = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
+    low[1:] |= breaks[1:] != breaks[:-1]
     first = np.flatnonzero(low)
     size = np.diff(np.append(first, n))
     ok = size >= LEAST_WORDS
@@ -135,35 +140,59 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "content bigint, doc_id bigint, at int, n int")
 
 
-def colliding(docs: DataFrame, bands: int) -> DataFrame:
-    """(a, b): distinct contents that share a band key, each pair once."""
+def pack(key: np.ndarray, content_: np.ndarray, count: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, block): keys, contents and counts (255: that or more) by part of the key space; 6, 8 and 1 bytes each."""
+    part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((key, part))
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(ends))
+    low = np.ascontiguousarray(key[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+    content_, count = content_[order].astype("<u8"), np.minimum(count[order], 255).astype(np.uint8)
+    blocks = [np.ascontiguousarray(low[a:b]).tobytes() + content_[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(ends[some].tolist(), ends[some + 1].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+def unpack(part: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (48 bits, under the part), contents and counts of a block."""
+    n = len(block) // 15
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :6] = np.frombuffer(block, np.uint8, n * 6).reshape(n, 6)
+    return key.reshape(-1).view("<u8") | np.uint64(part << 48), np.frombuffer(block[n * 6 : n * 14], "<u8"), np.frombuffer(block, np.uint8, n, n * 14)
+
+
+def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b): distinct contents that share a band key and may reach the threshold by their sizes, each pair once."""
+    parts = min(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 15)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, first, size, c in _each(batches):
-            found = band_keys(*paragraph_shingles(w, first, size), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.tile(c.view(np.int64), bands))], ["key", "content"])
+        held, size = [], 0
+        for _, w, first, n, c in _each(batches):
+            found = band_keys(*paragraph_shingles(w, first, n), bands)
+            held.append((np.concatenate(found), np.tile(c, bands), np.tile(n - SHINGLE + 1, bands)))
+            size += bands * len(c)
+            if size > 1_500_000:
+                yield pack(*(np.concatenate(x) for x in zip(*held)), parts)
+                held, size = [], 0
+        if held:
+            yield pack(*(np.concatenate(x) for x in zip(*held)), parts)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, c = np.concatenate([rest_k, np.asarray(batch.column(0))]), np.concatenate([rest_c, np.asarray(batch.column(1))])
+        held = [unpack(p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if held:
+            k, c, n = (np.concatenate(x) for x in zip(*held))
+            del held
+            order = np.lexsort((c.view(np.int64), k))
+            k, c, n = k[order], c[order].view(np.int64), n[order]
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[new], c[new]
-            end = int(np.searchsorted(k, k[-1]))
-            if end:
-                yield from _pairs(k[:end], c[:end])
-            rest_k, rest_c = k[end:], c[end:]
-        yield from _pairs(rest_k, rest_c)
+            yield from _pairs(k[new], c[new], n[new], jaccard)
 
-    spread = _texts(docs).mapInArrow(keys, "key bigint, content bigint")
-    return spread.repartition("key").sortWithinPartitions("key", "content").mapInArrow(pairs, "a bigint, b bigint").distinct()
+    spread = _texts(docs).mapInArrow(keys, "part int, block binary")
+    return spread.repartition(parts, "part").mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def _pairs(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs (a < b) of contents within each run of equal keys."""
+def _pairs(k: np.ndarray, c: np.ndarray, n: np.ndarray, jaccard: float) -> Iterator[pa.RecordBatch]:
+    """All pairs (a < b) of contents within each run of equal keys whose sizes allow the threshold."""
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     first = np.flatnonzero(new)
@@ -172,8 +201,10 @@ def _pairs(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
     at, shift = np.flatnonzero(np.repeat(size, size) > 1), 1
     while len(at):
         at = at[at + shift < end[at]]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(c[at + shift])], ["a", "b"])
+        x, y = n[at].astype(np.float64), n[at + shift].astype(np.float64)
+        ok = at[(np.minimum(x, y) >= jaccard * np.maximum(x, y)) | ((x == 255) | (y == 255))]
+        if len(ok):
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]), pa.array(c[ok + shift])], ["a", "b"])
         shift += 1
 
 
@@ -194,9 +225,10 @@ def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000
                 first, size, c = first[ok], size[ok], c[ok]
             if len(first):
                 h, starts = paragraph_shingles(w, first, size)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))], ["content", "shingles"])
+                h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h))], ["content", "shingles"])
 
-    found = _texts(docs).mapInArrow(run, "content bigint, shingles array<bigint>")
+    found = _texts(docs).mapInArrow(run, "content bigint, shingles array<int>")
     if wanted is None:
         found = found.join(contents, "content", "left_semi")
     return found.groupBy("content").agg(F.array_distinct(F.min("shingles")).alias("shingles"))
@@ -204,7 +236,7 @@ def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000
 
 def near_pairs(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """(a, b): distinct contents whose shingles have at least that Jaccard similarity."""
-    pairs = common.materialise(colliding(docs, tune(jaccard, recall)))
+    pairs = common.materialise(colliding(docs, tune(jaccard, recall), jaccard))
     contents = common.materialise(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
     sets = common.materialise(shingles_of(docs, contents))
     both = pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a")
@@ -224,9 +256,9 @@ def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int
     gone = units.withColumn("kept", F.min(place).over(of)).where(place != F.col("kept"))
     gone = gone.groupBy("doc_id", "at").agg(F.max("n").alias("n"), F.min("kept.doc_id").alias("kept_doc_id"))
     by = Window.partitionBy("doc_id").orderBy("at")
-    gone = gone.withColumn("fresh", (F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("n")).over(by), F.lit(-1))).cast("int"))
+    gone = gone.withColumn("fresh", (F.col("at") >= F.coalesce(F.lag(F.col("at") + F.col("n")).over(by), F.lit(-LEAST_WORDS)) + LEAST_WORDS).cast("int"))
     gone = gone.withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = gone.groupBy("doc_id", "run").agg(F.min("at").alias("first_word"), F.sum("n").cast("int").alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
+    runs = gone.groupBy("doc_id", "run").agg(F.min("at").alias("first_word"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
     return runs.where(F.col("n_words") >= min_words).select("doc_id", "first_word", "n_words", "kept_doc_id")
 
 
