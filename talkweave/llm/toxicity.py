@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common, kernel
 
-PRIOR, LEAST_Z, LEAST_SCORE, LEAST_DOCS, DRIFT, ALPHA = 200.0, 3.5, 2.0, 3, 0.2, 1e-3
+PRIOR, LEAST_Z, LEAST_SCORE, LEAST_DOCS, DRIFT, ALPHA = 20.0, 3.5, 2.0, 3, 0.2, 1e-3
 PASSAGE = "array<struct<first_word:int,last_word:int,score:double>>"
 
 
