@@ -17,10 +17,10 @@ def grouped(df: DataFrame, key: str, position: str, *columns: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("items"))
 
 
-def activity_ratio(df: DataFrame) -> DataFrame:
+def activity_ratio(df: DataFrame, width: int | None = None) -> DataFrame:
     """(session, speaker, ratio): share of the time between the session's first and last activity; speaker null: of anyone."""
     per = iv.normalise(df, ["session", "speaker"]).groupBy("session", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("on"), F.min("start").alias("lo"), F.max("end").alias("hi"))
-    any_ = iv.normalise(df, ["session"]).groupBy("session").agg(F.sum(F.col("end") - F.col("start")).alias("on"))
+    any_ = iv.normalise(df, ["session"], width=width).groupBy("session").agg(F.sum(F.col("end") - F.col("start")).alias("on"))
     span = per.groupBy("session").agg((F.max("hi") - F.min("lo")).alias("span"))
     both = per.select("session", F.col("speaker").cast("string").alias("speaker"), "on").unionByName(any_.select("session", F.lit(None).cast("string").alias("speaker"), "on"))
     return both.join(span, "session").select("session", "speaker", (F.col("on") / F.col("span")).alias("ratio"))
@@ -51,9 +51,9 @@ def overlap_histogram(per: DataFrame) -> DataFrame:
     return per.groupBy("session", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def exactly_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def exactly_one(df: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """Stretches in which exactly one interval of the key is active."""
-    return iv.concurrency(df, keys).where("n = 1").drop("n")
+    return iv.concurrency(df, keys, width).where("n = 1").drop("n")
 
 
 def window_percentage(df: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:

@@ -4,6 +4,13 @@ A set is all rows that share the key columns.  Empty and reversed intervals
 hold nothing and are dropped; touching intervals merge.  A null start or end
 drops the row, a null key is a key of its own.  Nothing here ever expands an
 interval into its points.
+
+A key with very many intervals (a long session) would be one task.  With a
+``width`` the intervals are cut at multiples of it, the work is done for each
+(key, bucket), and only the rows that touch a bucket's border go through a
+second step by key, at most two a bucket; all others pass straight through.
+The result is the same.  ``width`` should be well above a typical length, as
+rows grow by length / width.
 """
 
 from __future__ import annotations
@@ -19,11 +26,28 @@ def proper(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     return df.where(F.col(start) < F.col(end))
 
 
-def normalise(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Sorted, disjoint, non-touching intervals of each key: one exchange, one sort.
+def split(df: DataFrame, width: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals cut at multiples of ``width``, with the bucket of each piece in ``_b``."""
+    bucket = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
+    cut = proper(df, start, end).withColumn("_b", bucket)
+    return cut.withColumns({start: F.greatest(start, F.col("_b") * width), end: F.least(end, (F.col("_b") + 1) * width)})
+
+
+def _inner(width: int) -> Column:
+    """Whether a row of a bucket touches none of its borders."""
+    return (F.pmod(F.col("start"), F.lit(width)) != 0) & (F.pmod(F.col("end"), F.lit(width)) != 0)
+
+
+def normalise(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
+    """Sorted, disjoint, non-touching intervals of each key: one exchange, one sort (with ``width`` a small second one).
 
     Range frames make rows of equal start peers, so ties can't split an interval.
     """
+    if width:
+        named = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
+        merged = normalise(split(named, width), [*keys, "_b"]).drop("_b")
+        whole = merged.where(_inner(width)).unionByName(normalise(merged.where(~_inner(width)), keys))
+        return whole.withColumnsRenamed({"start": start, "end": end})
     w = Window.partitionBy(*keys).orderBy(start)
     reach = F.max(end).over(w.rangeBetween(Window.unboundedPreceding, -1))
     flagged = proper(df, start, end).select(*keys, start, end).withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
@@ -31,12 +55,12 @@ def normalise(df: DataFrame, keys: Sequence[str], start: str = "start", end: str
     return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def union(keys: Sequence[str], *sets: DataFrame) -> DataFrame:
+def union(keys: Sequence[str], *sets: DataFrame, width: int | None = None) -> DataFrame:
     """Points in any of the sets; one normalisation at the end of the chain."""
     head, *rest = (s.select(*keys, "start", "end") for s in sets)
     for other in rest:
         head = head.unionByName(other)
-    return normalise(head, keys)
+    return normalise(head, keys, width=width)
 
 
 def clip(df: DataFrame, low: Column | int, high: Column | int, rebase: bool = False) -> DataFrame:
@@ -58,38 +82,56 @@ def clear(df: DataFrame, low: Column | int, high: Column | int) -> DataFrame:
     return proper(cut)
 
 
-def _sweep(keys: Sequence[str], sides: Sequence[DataFrame]) -> DataFrame:
-    """Elementary pieces ``[start, end)`` of each key with n0, n1, ..: how many intervals of each side cover them."""
-    events = None
-    for k, side in enumerate(sides):
-        p = proper(side)
-        for at, step in (("start", 1), ("end", -1)):
-            part = p.select(*keys, F.col(at).alias("at"), *(F.lit(step if j == k else 0).alias(f"d{j}") for j in range(len(sides))))
-            events = part if events is None else events.unionByName(part)
+def _sweep(keys: Sequence[str], sides: Sequence[DataFrame], width: int | None = None) -> DataFrame:
+    """Elementary pieces ``[start, end)`` of each key with n0, n1, ..: how many intervals of each side cover them.
+
+    With ``width`` pieces are cut at its multiples too.
+    """
+    if width:
+        sides, keys = [split(s.select(*keys, "start", "end"), width) for s in sides], [*keys, "_b"]
+    step = [F.array(*(F.struct(F.col(at).alias("at"), *(F.lit(d if j == k else 0).alias(f"d{j}") for j in range(len(sides)))) for at, d in (("start", 1), ("end", -1)))) for k in range(len(sides))]
+    parts = [proper(side).select(*keys, F.inline(step[k])) for k, side in enumerate(sides)]
+    events = parts[0]
+    for part in parts[1:]:
+        events = events.unionByName(part)
     steps = events.groupBy(*keys, "at").agg(*(F.sum(f"d{j}").alias(f"d{j}") for j in range(len(sides))))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *(F.sum(f"d{j}").over(run).alias(f"n{j}") for j in range(len(sides)))).where("end is not null")
 
 
-def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _joined(pieces: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Touching pieces of equal ``value`` (disjoint within a key) put together."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    same = (F.lag("end").over(w) == F.col("start")) & (F.lag(value).over(w) == F.col(value))
+    marked = pieces.withColumn("_new", F.when(same, 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_run", value).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def _levels(pieces: DataFrame, keys: Sequence[str], value: str, width: int | None) -> DataFrame:
+    if not width:
+        return _joined(pieces, keys, value)
+    local = _joined(pieces, [*keys, "_b"], value).drop("_b")
+    return local.where(_inner(width)).unionByName(_joined(local.where(~_inner(width)), keys, value))
+
+
+def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """Points in both sets of each key, by one sweep and no join."""
-    return normalise(_sweep(keys, (a, b)).where("n0 > 0 and n1 > 0"), keys)
+    both = _sweep(keys, (a, b), width).where("n0 > 0 and n1 > 0").withColumn("_on", F.lit(1))
+    return _levels(both, keys, "_on", width).drop("_on")
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """Points of ``a`` that ``b`` doesn't have."""
-    return normalise(_sweep(keys, (a, b)).where("n0 > 0 and n1 = 0"), keys)
+    rest = _sweep(keys, (a, b), width).where("n0 > 0 and n1 = 0").withColumn("_on", F.lit(1))
+    return _levels(rest, keys, "_on", width).drop("_on")
 
 
-def concurrency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def concurrency(df: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """How many intervals cover each stretch: (keys, start, end, n), stretches of equal n joined, n = 0 left out."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    pieces = _sweep(keys, (df,)).withColumnRenamed("n0", "n")
-    joined = (F.lag("end").over(w) == F.col("start")) & (F.lag("n").over(w) == F.col("n"))
-    pieces = pieces.withColumn("_new", F.when(joined, 0).otherwise(1))
-    pieces = pieces.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return pieces.groupBy(*keys, "_run", "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run").where("n > 0")
+    pieces = _sweep(keys, (df,), width).withColumnRenamed("n0", "n").where("n > 0")
+    return _levels(pieces, keys, "n", width).select(*keys, "n", "start", "end")
 
 
 def runs(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:

@@ -12,11 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def micros(column: str) -> F.Column:
     """Microseconds since the epoch of a timestamp without zone, whatever the session's zone."""
-    ntz = F.col(column).cast("timestamp_ntz")
-    days = F.datediff(ntz, F.lit("1970-01-01").cast("date")).cast("bigint")
-    of_day = F.hour(ntz) * 3600 + F.minute(ntz) * 60
-    second = F.date_format(ntz, "ss.SSSSSS").cast("decimal(8,6)") * 1000000
-    return (days * 86400 + of_day) * F.lit(1000000) + second.cast("bigint")
+    since = F.col(column).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1000000).cast("bigint")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:

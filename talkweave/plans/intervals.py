@@ -15,6 +15,7 @@ from .fixtures import ACTIVITY, activity, micros, table
 DAY0 = 1704067200000000  # 2024-01-01
 DAY = 86_400_000_000
 KEYS = ["session", "speaker"]
+WIDTH = DAY  # a session is one key of a hot set, so its sweeps are cut into days
 
 
 def merged_sql(keys: str, src: str, name: str = "merged") -> str:
@@ -66,12 +67,12 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 EVEN, ODD = "(SELECT * FROM activity WHERE utt % 2 = 0)", "(SELECT * FROM activity WHERE utt % 2 = 1)"
-Q["interval_union"] = lambda spark, d: iv.union(["session"], *_halves(spark, d))
+Q["interval_union"] = lambda spark, d: iv.union(["session"], *_halves(spark, d), width=WIDTH)
 S["interval_union"] = f"WITH {ACTIVITY}, {merged_sql('session', 'activity')} SELECT * FROM merged"
-Q["interval_intersect"] = lambda spark, d: iv.intersect(*_halves(spark, d), ["session"])
+Q["interval_intersect"] = lambda spark, d: iv.intersect(*_halves(spark, d), ["session"], width=WIDTH)
 S["interval_intersect"] = f"""WITH {ACTIVITY}, {sweep_sql('session', {'a': EVEN, 'b': ODD})}, both_ AS (SELECT session, "start", "end" FROM pieces WHERE n_a > 0 AND n_b > 0),
 {merged_sql('session', 'both_')} SELECT * FROM merged"""
-Q["interval_subtract"] = lambda spark, d: iv.subtract(*_halves(spark, d), ["session"])
+Q["interval_subtract"] = lambda spark, d: iv.subtract(*_halves(spark, d), ["session"], width=WIDTH)
 S["interval_subtract"] = f"""WITH {ACTIVITY}, {sweep_sql('session', {'a': EVEN, 'b': ODD})}, rest AS (SELECT session, "start", "end" FROM pieces WHERE n_a > 0 AND n_b = 0),
 {merged_sql('session', 'rest')} SELECT * FROM merged"""
 
@@ -132,9 +133,9 @@ PIECES = f"WITH {ACTIVITY}, {sweep_sql('session', {'a': 'activity'})}"
 LEVELS = f"""{PIECES}, marked AS (SELECT *, CASE WHEN lag("end") OVER w = "start" AND lag(n_a) OVER w = n_a THEN 0 ELSE 1 END AS fresh FROM pieces WINDOW w AS (PARTITION BY session ORDER BY "start")),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS run FROM marked),
 levels AS (SELECT session, n_a AS n, min("start") AS "start", max("end") AS "end" FROM numbered GROUP BY session, run, n_a HAVING n_a > 0)"""
-Q["concurrency_sweep"] = lambda spark, d: iv.concurrency(activity(spark, d), ["session"])
+Q["concurrency_sweep"] = lambda spark, d: iv.concurrency(activity(spark, d), ["session"], width=WIDTH)
 S["concurrency_sweep"] = f"{LEVELS} SELECT * FROM levels"
-Q["exactly_one_active"] = lambda spark, d: an.exactly_one(activity(spark, d), ["session"])
+Q["exactly_one_active"] = lambda spark, d: an.exactly_one(activity(spark, d), ["session"], width=WIDTH)
 S["exactly_one_active"] = f"""{LEVELS} SELECT session, "start", "end" FROM levels WHERE n = 1"""
 
 OVERLAPS = f"""WITH {ACTIVITY}, pairs AS (SELECT a.session, a.utt, a.speaker, b.utt AS utt_r, b.speaker AS speaker_r, greatest(a."start", b."start") AS overlap_start, least(a."end", b."end") AS overlap_end
@@ -159,7 +160,7 @@ S["overlap_summary"] = f"""{SHARE} SELECT session, count(*) AS n, count(*) FILTE
   min("overlap") FILTER ("overlap" > 0) AS least, max("overlap") AS most, CAST(sum("overlap") AS BIGINT) AS total FROM per GROUP BY session"""
 Q["overlap_histogram"] = lambda spark, d: an.overlap_histogram(an.overlap_per_utterance(activity(spark, d)))
 S["overlap_histogram"] = f"""{SHARE} SELECT session, CASE WHEN "overlap" = 0 THEN -1 ELSE least("overlap" * 10 // length * 10, 90) END AS bin, count(*) AS n FROM per GROUP BY ALL"""
-Q["activity_ratio"] = lambda spark, d: an.activity_ratio(activity(spark, d))
+Q["activity_ratio"] = lambda spark, d: an.activity_ratio(activity(spark, d), width=WIDTH)
 S["activity_ratio"] = f"""{FLAT}, {merged_sql('session', 'activity', 'anyone')}, span AS (SELECT session, max("end") - min("start") AS w FROM merged GROUP BY session),
 shares AS (SELECT session, CAST(speaker AS VARCHAR) AS speaker, sum("end" - "start") AS t FROM merged GROUP BY ALL UNION ALL SELECT session, NULL, sum("end" - "start") FROM anyone GROUP BY ALL)
 SELECT s.session, speaker, t::DOUBLE / w::DOUBLE AS ratio FROM shares s JOIN span USING (session)"""
