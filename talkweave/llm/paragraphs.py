@@ -248,12 +248,13 @@ def near_pairs(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
 def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, kept_doc_id): passages that repeat what another place has; that place stays."""
     common.need(docs, "doc_id", "text")
-    cluster = components(near_pairs(docs, jaccard)).select(F.col("node").alias("content"), "component")
-    cluster = common.materialise(cluster)
-    units = paragraphs(docs).join(cluster, "content", "left").withColumn("cluster", F.coalesce("component", "content"))
-    of = Window.partitionBy("cluster")
-    place = F.struct("doc_id", "at")
-    gone = units.withColumn("kept", F.min(place).over(of)).where(place != F.col("kept"))
+    cluster = common.materialise(components(near_pairs(docs, jaccard)).select(F.col("node").alias("content"), "component"))
+    units, place = paragraphs(docs), F.struct("doc_id", "at")
+    per = units.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("times")).join(cluster, "content", "left")
+    per = per.where("times > 1 or component is not null").select("content", F.coalesce("component", "content").alias("cluster"), "first")
+    kept = common.materialise(per)
+    kept = kept.join(kept.groupBy("cluster").agg(F.min("first").alias("kept")), "cluster").select("content", "kept")
+    gone = units.join(kept, "content").where(place != F.col("kept"))
     gone = gone.groupBy("doc_id", "at").agg(F.max("n").alias("n"), F.min("kept.doc_id").alias("kept_doc_id"))
     by = Window.partitionBy("doc_id").orderBy("at")
     gone = gone.withColumn("fresh", (F.col("at") >= F.coalesce(F.lag(F.col("at") + F.col("n")).over(by), F.lit(-LEAST_WORDS)) + LEAST_WORDS).cast("int"))
