@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkweave.sources import shared
+
 
 def gate(df: DataFrame, bad: Column, message: str) -> DataFrame:
     """``df``, which fails while running if any row is bad (null counts as good)."""
@@ -119,9 +121,13 @@ def dataset_slice(df: DataFrame, part: bool | int | slice, order: Sequence[str],
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Adds consecutive numbers from 0 in ``order``: sorted by range partitions, each offset by the counts of those before it."""
+    """Adds consecutive numbers from 0 in ``order``: sorted by range partitions, each offset by the counts of those before it.
+
+    The numbered partitions are written once, as range bounds are sampled and would differ if they were computed twice.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     ordered = ordered.withColumn("_m", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    ordered = shared.materialise(ordered)
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     return ordered.join(before, "_p").withColumn(name, F.col("_m") + F.col("_o")).drop("_p", "_m", "_o")

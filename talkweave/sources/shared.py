@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +22,10 @@ def folder(spark: SparkSession) -> str:
         _own[app] = tempfile.mkdtemp(prefix="talkweave-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: what isn't deterministic is fixed, and no executor holds it."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
