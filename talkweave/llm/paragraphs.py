@@ -15,7 +15,7 @@ distinct contents, uncapped) and verified by exact Jaccard on the shingles;
 verified pairs are clustered by connected components.  Four rows a band keep
 pairs that share but a phrase of common words from colliding.  Keys travel in
 packed blocks, 15 bytes a key, content and number of shingles, one block for
-each task and part; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
+each task and part, and a task sends a content once however often it occurs; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
 first occurrence (least doc_id, then place) stays.
 
 A repeated *passage* is a run of paragraphs of a document that go, with gaps of
@@ -165,12 +165,19 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
     parts = min(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 15)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, np.zeros(0, np.uint64)
         for _, w, first, n, c in _each(batches):
-            found = band_keys(*paragraph_shingles(w, first, n), bands)
-            held.append((np.concatenate(found), np.tile(c, bands), np.tile(n - SHINGLE + 1, bands)))
+            c, at = np.unique(c, return_index=True)
+            if len(seen):
+                new = seen[np.minimum(np.searchsorted(seen, c), len(seen) - 1)] != c
+                c, at = c[new], at[new]
+            if not len(c):
+                continue
+            seen = np.sort(np.concatenate([seen, c]), kind="stable")
+            found = band_keys(*paragraph_shingles(w, first[at], n[at]), bands)
+            held.append((np.concatenate(found), np.tile(c, bands), np.tile(n[at] - SHINGLE + 1, bands)))
             size += bands * len(c)
-            if size > 1_500_000:
+            if size > 1_000_000:
                 yield pack(*(np.concatenate(x) for x in zip(*held)), parts)
                 held, size = [], 0
         if held:
