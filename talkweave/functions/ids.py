@@ -35,33 +35,33 @@ def located_id(example: Column, location: Column) -> Column:
     return F.concat(F.array_join(F.slice(part, 1, F.size(part) - 1), "_"), F.lit("_"), place, F.element_at(part, -1))
 
 
-def plain_id(kaldi: Column) -> Column:
+def plain_id(example: Column) -> Column:
     """An id without location and channel; ids of four parts raise."""
-    part = F.split(kaldi, "_")
+    part = F.split(example, "_")
     last = F.element_at(part, -1)
-    return F.when(F.size(part) == 4, F.raise_error(F.concat(F.lit("four parts: "), kaldi)).cast("string")).otherwise(
+    return F.when(F.size(part) == 4, F.raise_error(F.concat(F.lit("four parts: "), example)).cast("string")).otherwise(
         F.concat(F.element_at(part, 1), F.lit("_"), F.element_at(part, 2), F.lit("_"), F.regexp_replace(last, r"^[A-Z]+\.[A-Z0-9]+-", ""))
     )
 
 
-def id_parts(kaldi: Column) -> Column:
+def id_parts(example: Column) -> Column:
     """struct<speaker, session, array, location, channel, array_id_or_speaker>.
 
     ``array`` is the speaker, as consumers of that field expect; the last field is the array where the id names one.
     """
-    speaker, session = F.regexp_extract(kaldi, r"^(P\d+)", 1), F.regexp_extract(kaldi, r"(S\d+)", 1)
-    unit = F.regexp_extract(kaldi, r"_(U\d+)", 1)
+    speaker, session = F.regexp_extract(example, r"^(P\d+)", 1), F.regexp_extract(example, r"(S\d+)", 1)
+    unit = F.regexp_extract(example, r"_(U\d+)", 1)
     return F.struct(
         speaker.alias("speaker"), session.alias("session"), speaker.alias("array"),
-        F.nullif(F.regexp_extract(kaldi, r"_([A-Z]+)\.", 1), F.lit("")).alias("location"),
-        F.nullif(F.regexp_extract(kaldi, r"\.([A-Z]+\d*)-", 1), F.lit("")).alias("channel"),
+        F.nullif(F.regexp_extract(example, r"_([A-Z]+)\.", 1), F.lit("")).alias("location"),
+        F.nullif(F.regexp_extract(example, r"\.([A-Z]+\d*)-", 1), F.lit("")).alias("channel"),
         F.when(unit == "", speaker).otherwise(unit).alias("array_id_or_speaker"),
     )
 
 
-def channel_of(kaldi: Column) -> Column:
+def channel_of(example: Column) -> Column:
     """The channel of an id, e.g. ``CH1`` or ``L``; null if it names none."""
-    return id_parts(kaldi)["channel"]
+    return id_parts(example)["channel"]
 
 
 def file_id(name: Column) -> Column:
