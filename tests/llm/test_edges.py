@@ -147,3 +147,20 @@ class Named:
 def test_shared_folder_is_the_clusters(spark):
     assert common.shared_folder(Named()) == "hdfs://shared/folder"
     assert common.shared_folder(spark) == common.shared_folder(spark)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages(spark, odd, nothing, tmp_path, empty):
+    """Every stage takes nulls, empty texts, repeats, clashing columns and no rows at all, on its own input."""
+    import corpus_pipeline
+
+    docs = nothing if empty else odd
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        own = stage(spark, docs, "")
+        if name != "bpe_tokens":
+            assert own.columns == docs.columns
+        own.write.parquet(f"{tmp_path}/{k}")
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() <= max(docs.count(), 1)
+        rest = docs if name == "language_id" else spark.read.parquet(f"{tmp_path}/{k}")
+        docs = rest if name != "bpe_tokens" else docs  # the language model of a few rows may reject all; the others get every row
+    assert (docs.count() == 0) == empty
