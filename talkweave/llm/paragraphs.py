@@ -195,7 +195,7 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
             yield from _pairs(k[new], c[new], n[new], jaccard)
 
     spread = _texts(docs).mapInArrow(keys, "part int, block binary")
-    return spread.repartition(parts, "part").mapInArrow(pairs, "a bigint, b bigint").distinct()
+    return spread.repartitionById(parts, F.col("part")).mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
 def _pairs(k: np.ndarray, c: np.ndarray, n: np.ndarray, jaccard: float) -> Iterator[pa.RecordBatch]:
