@@ -1,11 +1,14 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-A *paragraph* here is a run of words between two cuts.  Line ends cut, and so
-does, within a line, each word whose hash with its successor's is the least
-within ``REACH`` words on both sides.  These cuts depend on nearby words only, so a
-passage that is pasted into the middle of another document's line has the same
-paragraphs there but for those at its two ends; punctuation doesn't matter.
-Paragraphs of fewer than ``LEAST_WORDS`` words aren't compared.
+A *paragraph* here is one of two kinds of runs of words.  Lines are the first.
+The second are chunks: they begin at each word whose hash with its successor's is
+the least within ``REACH`` words on both sides, and line ends don't count, so that a
+passage in lines of a few words has as many as the same words in one line.  These
+cuts depend on nearby words only: a passage that is pasted into the middle of
+another document has the same chunks there but for those at its two ends.
+Punctuation doesn't matter.  Paragraphs of fewer than ``LEAST_WORDS`` words aren't
+compared; chunks are as short only at the ends of a document.  Lines and chunks
+overlap, so a paragraph repeats another only if that one ends before it begins.
 
 Identical paragraphs share a 64-bit content hash of all words.  For the others,
 each paragraph's three-word shingles get ``bands * ROWS`` MinHashes; bands are
@@ -16,7 +19,7 @@ verified pairs are clustered by connected components.  Four rows a band keep
 pairs that share but a phrase of common words from colliding.  Keys travel in
 packed blocks, 15 bytes a key, content and number of shingles, one block for
 each task and part, and a task sends a content once however often it occurs; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
-first occurrence (least doc_id, then place) stays.
+first occurrence (least doc_id, then the place where it ends) stays.
 
 A repeated *passage* is a run of paragraphs of a document that go, with gaps of
 fewer than ``LEAST_WORDS`` words (such as lines too short to compare); it is
@@ -53,7 +56,7 @@ def tune(jaccard: float = JACCARD, recall: float = RECALL, rows: int = ROWS) ->
 
 
 def cut(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each paragraph of at least LEAST_WORDS words."""
+    """First word and number of words of each paragraph of at least LEAST_WORDS words, each range once, in order."""
     n = len(w.hash)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -68,13 +71,18 @@ def cut(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
         here = row[k:] == row[:-k]
         low[k:] &= ~here | (v[k:] < v[:-k])
         low[:-k] &= ~here | (v[:-k] <= v[k:])
-    low[1:] |= ~same[:-1]
-    low[0] = True
-    breaks = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
-    low[1:] |= breaks[1:] != breaks[:-1]
-    first = np.flatnonzero(low)
-    size = np.diff(np.append(first, n))
+    breaks = np.diff(np.searchsorted(np.flatnonzero(w.data == 10), w.start), prepend=0)
+    found = []
+    for begins in (low, breaks > 0):
+        begins[1:] |= ~same[:-1]
+        begins[0] = True
+        first = np.flatnonzero(begins)
+        found.append((first, np.diff(np.append(first, n))))
+    first, size = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((size, first))
+    first, size = first[order], size[order]
     ok = size >= LEAST_WORDS
+    ok[1:] &= (first[1:] != first[:-1]) | (size[1:] != size[:-1])
     return first[ok], size[ok]
 
 
@@ -82,12 +90,12 @@ def content(w: kernel.Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hash of the words of each paragraph, in order."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(w.hash) + 1, np.uint64)
-    place = np.zeros(len(w.hash), np.int64)
-    place[first] = first
-    place = np.arange(len(w.hash)) - np.maximum.accumulate(place)
-    np.cumsum(kernel.mix(w.hash + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64, out=total[1:])
-    return kernel.mix(total[first + size] - total[first])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
+    h = w.hash[np.repeat(first, size) + place]
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(kernel.mix(h + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64, out=total[1:])
+    return kernel.mix(total[starts[1:]] - total[starts[:-1]])
 
 
 def paragraph_shingles(w: kernel.Words, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,17 +264,17 @@ def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int
     """(doc_id, first_word, n_words, kept_doc_id): passages that repeat what another place has; that place stays."""
     common.need(docs, "doc_id", "text")
     cluster = common.materialise(components(near_pairs(docs, jaccard)).select(F.col("node").alias("content"), "component"))
-    units, place = paragraphs(docs), F.struct("doc_id", "at")
-    per = units.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("times")).join(cluster, "content", "left")
+    units, end = paragraphs(docs), F.col("at") + F.col("n")
+    per = units.groupBy("content").agg(F.min(F.struct("doc_id", end.alias("end"))).alias("first"), F.count("*").alias("times")).join(cluster, "content", "left")
     per = per.where("times > 1 or component is not null").select("content", F.coalesce("component", "content").alias("cluster"), "first")
     kept = common.materialise(per)
     kept = kept.join(kept.groupBy("cluster").agg(F.min("first").alias("kept")), "cluster").select("content", "kept")
-    gone = units.join(kept, "content").where(place != F.col("kept"))
+    gone = units.join(kept, "content").where("kept.doc_id < doc_id or kept.doc_id = doc_id and kept.end <= at")
     gone = gone.groupBy("doc_id", "at").agg(F.max("n").alias("n"), F.min("kept.doc_id").alias("kept_doc_id"))
     by = Window.partitionBy("doc_id").orderBy("at")
-    gone = gone.withColumn("fresh", (F.col("at") >= F.coalesce(F.lag(F.col("at") + F.col("n")).over(by), F.lit(-LEAST_WORDS)) + LEAST_WORDS).cast("int"))
+    gone = gone.withColumn("fresh", (F.col("at") >= F.coalesce(F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-LEAST_WORDS)) + LEAST_WORDS).cast("int"))
     gone = gone.withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = gone.groupBy("doc_id", "run").agg(F.min("at").alias("first_word"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
+    runs = gone.groupBy("doc_id", "run").agg(F.min("at").alias("first_word"), (F.max(end) - F.min("at")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
     return runs.where(F.col("n_words") >= min_words).select("doc_id", "first_word", "n_words", "kept_doc_id")
 
 

@@ -152,6 +152,22 @@ def test_planted_passages(spark):
         assert 99 <= x.first_word <= 115 and 30 <= x.n_words <= 61
 
 
+def test_passages_in_lines_of_any_length(spark):
+    """Exact passages are found however many words a line has."""
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    rows, planted = [], {}
+    for k in range(400):
+        per, size = k % 10 + 1, (56, 100)[k // 10 % 2]
+        passage = "\n".join(text(min(per, size - i)) for i in range(0, size, per))
+        rows += [(2 * k, f"{text(70)} {passage} {text(50)}"), (2 * k + 1, f"{text(90)} {passage} {text(40)}")]
+        planted[2 * k + 1] = per
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x.doc_id for x in found} <= set(planted) and all(x.kept_doc_id == x.doc_id - 1 for x in found)
+    share = {per: sum(planted[x] == per for x in {x.doc_id for x in found}) / 40 for per in range(1, 11)}
+    assert min(share.values()) >= 0.9, share
+
+
 def test_bands_reach_the_recall():
     bands = paragraphs.tune()
     assert 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** bands >= paragraphs.RECALL > 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** (bands - 1)
