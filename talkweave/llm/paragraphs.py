@@ -1,14 +1,15 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-A *paragraph* here is one of two kinds of runs of words.  Lines are the first.
-The second are chunks: they begin at each word whose hash with its successor's is
+A *paragraph* here is one of three kinds of runs of words.  Lines are the first,
+blocks between lines without words the second: as these are whole, some changed
+words leave them over the threshold.  The third are chunks: they begin at each word whose hash with its successor's is
 the least within ``REACH`` words on both sides, and line ends don't count, so that a
 passage in lines of a few words has as many as the same words in one line.  These
 cuts depend on nearby words only: a passage that is pasted into the middle of
 another document has the same chunks there but for those at its two ends.
 Punctuation doesn't matter.  Paragraphs of fewer than ``LEAST_WORDS`` words aren't
-compared; chunks are as short only at the ends of a document.  Lines and chunks
-overlap, so a paragraph repeats another only if that one ends before it begins.
+compared; chunks are as short only at the ends of a document.  The kinds overlap,
+so a paragraph repeats another only if that one ends before it begins.
 
 Identical paragraphs share a 64-bit content hash of all words.  For the others,
 each paragraph's three-word shingles get ``bands * ROWS`` MinHashes; bands are
@@ -73,7 +74,7 @@ def cut(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
         low[:-k] &= ~here | (v[:-k] <= v[k:])
     breaks = np.diff(np.searchsorted(np.flatnonzero(w.data == 10), w.start), prepend=0)
     found = []
-    for begins in (low, breaks > 0):
+    for begins in (low, breaks > 0, breaks > 1):
         begins[1:] |= ~same[:-1]
         begins[0] = True
         first = np.flatnonzero(begins)

@@ -168,6 +168,28 @@ def test_passages_in_lines_of_any_length(spark):
     assert min(share.values()) >= 0.9, share
 
 
+def test_edited_paragraphs_recall(spark):
+    """Whole lines and blocks of several lines over the threshold are found, held against brute force over paragraphs."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    sets = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    rows, near = [], {}
+    for k in range(240):
+        n, edits, per = *((60, 1), (60, 2), (100, 3), (150, 5))[k % 4], (1000, 9)[k // 4 % 2]
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for i in range(edits):
+            b[(2 * i + 1) * n // (2 * edits)] = word()
+        for i, w in ((2 * k, a), (2 * k + 1, b)):
+            lines = "\n".join(" ".join(w[x : x + per]) for x in range(0, n, per))
+            rows.append((i, "\n\n".join([" ".join(word() for _ in range(40)), lines, " ".join(word() for _ in range(30))])))
+        if len(sets(a) & sets(b)) >= paragraphs.JACCARD * len(sets(a) | sets(b)):
+            near[2 * k + 1] = n
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    whole = [x for x in found if (x.first_word, x.n_words, x.kept_doc_id) == (40, near.get(x.doc_id), x.doc_id - 1)]
+    assert len(near) > 200 and len(whole) >= 0.9 * len(near), (len(whole), len(near))
+
+
 def test_bands_reach_the_recall():
     bands = paragraphs.tune()
     assert 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** bands >= paragraphs.RECALL > 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** (bands - 1)
