@@ -18,7 +18,7 @@ probability.  Contents that collide in any band are joined (all pairs of
 distinct contents, uncapped) and verified by exact Jaccard on the shingles;
 verified pairs are clustered by connected components.  Four rows a band keep
 pairs that share but a phrase of common words from colliding.  Keys travel in
-packed blocks, 15 bytes a key, content and number of shingles, one block for
+packed blocks, 15 bytes a key, content and number of distinct shingles, one block for
 each task and part, and a task sends a content once however often it occurs; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
 first occurrence (least doc_id, then the place where it ends) stays.
 
@@ -113,6 +113,15 @@ def paragraph_shingles(w: kernel.Words, first: np.ndarray, size: np.ndarray) ->
     return acc[at], starts
 
 
+def distinct_shingles(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each paragraph has, by the 32 bits that ``shingles_of`` compares."""
+    unit = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    both = np.sort(unit << np.uint64(32) | shingle >> np.uint64(32))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    return np.bincount((both[new] >> np.uint64(32)).astype(np.int64), minlength=len(starts) - 1)
+
+
 def band_keys(shingle: np.ndarray, starts: np.ndarray, bands: int) -> list[np.ndarray]:
     """The key of each paragraph in each band."""
     out = []
@@ -183,8 +192,9 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
             if not len(c):
                 continue
             seen = np.sort(np.concatenate([seen, c]), kind="stable")
-            found = band_keys(*paragraph_shingles(w, first[at], n[at]), bands)
-            held.append((np.concatenate(found), np.tile(c, bands), np.tile(n[at] - SHINGLE + 1, bands)))
+            shingle, starts = paragraph_shingles(w, first[at], n[at])
+            found = band_keys(shingle, starts, bands)
+            held.append((np.concatenate(found), np.tile(c, bands), np.tile(distinct_shingles(shingle, starts), bands)))
             size += bands * len(c)
             if size > 1_000_000:
                 yield pack(*(np.concatenate(x) for x in zip(*held)), parts)

@@ -190,6 +190,13 @@ def test_edited_paragraphs_recall(spark):
     assert len(near) > 200 and len(whole) >= 0.9 * len(near), (len(whole), len(near))
 
 
+def test_repetitive_lines_of_different_length(spark):
+    """Their distinct shingles are the same, so they are near whatever their lengths."""
+    rows = [(1, "tick tock " * 10), (2, "tick tock " * 20), (3, "to be or not " * 30), (4, "to be or not " * 12)]
+    got = {(x.doc_id, x.kept_doc_id) for x in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(2, 1), (4, 3)}
+
+
 def test_bands_reach_the_recall():
     bands = paragraphs.tune()
     assert 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** bands >= paragraphs.RECALL > 1 - (1 - paragraphs.JACCARD**paragraphs.ROWS) ** (bands - 1)
