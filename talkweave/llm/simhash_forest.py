@@ -10,8 +10,8 @@ copies are one point.  The forest holds each point in ``tries`` tries, each
 over its own random permutation of the bits.  A point's path in a trie is the
 prefix of its permuted bits; depth adapts to density: the bottom depth of the
 climb follows the number of points (``log2`` of it less ``SPARE``, at least
-``LEAST_DEPTH``), and the number of tries is what the target recall then needs at the
-reference distance.  Below that depth the points of a sub-trie are sorted by
+``LEAST_DEPTH``), and the number of tries is what the target recall then needs at
+``radius`` itself, the farthest pairs that count.  Below that depth the points of a sub-trie are sorted by
 their deeper bits.  A sparse sub-trie is compared all with all.  In a dense one
 every component floods the sub-trie: it takes out whatever it reaches, so a
 tight family of any size costs one pass, the components are exact within the
@@ -43,7 +43,7 @@ BITS = 256
 LANES = BITS // 64
 SPARE, LEAST_DEPTH = 2, 16
 DENSE = 48
-RADIUS, REFERENCE, RECALL, RATIO = 40, 24, 0.93, 0.6
+RADIUS, RECALL, RATIO = 40, 0.93, 0.6
 SEED = 20240229
 
 
@@ -83,10 +83,10 @@ def signed(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(sign, "doc_id bigint, n_words bigint, " + ", ".join(f"s{k} bigint" for k in range(LANES)))
 
 
-def plan(points: int, recall: float = RECALL, reference: int = REFERENCE) -> tuple[int, int]:
-    """Bottom depth of the climb and number of tries for so many points."""
+def plan(points: int, recall: float = RECALL, radius: int = RADIUS) -> tuple[int, int]:
+    """Bottom depth of the climb and number of tries for so many points: at that depth a pair ``radius`` bits apart is found with that recall."""
     depth = min(48, max(LEAST_DEPTH, math.floor(math.log2(max(points, 2))) - SPARE))
-    one = (1 - reference / BITS) ** depth
+    one = math.prod(1 - radius / (BITS - i) for i in range(depth))  # bits of a path are drawn without replacement
     return depth, max(24, math.ceil(math.log(1 - recall) / math.log1p(-one)))
 
 
@@ -138,7 +138,7 @@ def subtrie_edges(path: np.ndarray, sig: np.ndarray, n: np.ndarray, key: np.ndar
 
 def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """Edges (a, b) between the points (doc_id, n_words, s0 ..) whose components are the groups."""
-    depth, tries = plan(count)
+    depth, tries = plan(count, radius=radius)
     where = permutations(tries)
     names = ["doc_id", "n_words", *(f"s{k}" for k in range(LANES))]
 

@@ -84,6 +84,18 @@ def test_simhash_recall(spark):
     assert all(want.get(k) is not None and want[k] <= v for k, v in got.items())  # nothing joined that brute force doesn't join
 
 
+@pytest.mark.parametrize("points", [10**4, 10**6, 10**7, 3 * 10**7])
+def test_simhash_plan_recall_by_distance(points):
+    """Share of random pairs of each distance that share a prefix of the bottom depth in any trie."""
+    depth, tries = simhash_forest.plan(points)
+    bits = simhash_forest.permutations(tries)[:, :depth]
+    rng = np.random.default_rng(8)
+    for distance in (8, 24, 32, 40):
+        apart = np.argsort(rng.random((2000, simhash_forest.BITS)), axis=1) < distance
+        found = np.mean([(~p[bits].any(1)).any() for p in apart])
+        assert found >= 0.91, (distance, found)
+
+
 def test_simhash_dense_groups():
     """A family too large to compare all with all has the same components as by brute force."""
     rng = np.random.default_rng(1)
