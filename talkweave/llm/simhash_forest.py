@@ -8,11 +8,14 @@ the factor ``ratio``.
 Equal (signature, word count) rows first fold into one, so that thousands of
 copies are one point.  The forest holds each point in ``tries`` tries, each
 over its own random permutation of the bits.  A point's path in a trie is the
-prefix of its permuted bits; depth adapts to density: the bottom depth of the
-climb follows the number of points (``log2`` of it less ``SPARE``, at least
+prefix of its permuted bits; depth adapts to density: the climb starts at a bottom
+depth that follows the number of points (``log2`` of it less ``SPARE``, at least
 ``LEAST_DEPTH``), and the number of tries is what the target recall then needs at
-``radius`` itself, the farthest pairs that count.  Below that depth the points of a sub-trie are sorted by
-their deeper bits.  A sparse sub-trie is compared all with all.  In a dense one
+``radius`` itself, the farthest pairs that count.  From there each sub-trie climbs to the shortest prefix
+that at most ``DENSE`` points share, so in sparse regions near copies meet though they
+differ in bits of the bottom prefix; only a sub-trie that is denser already at the
+bottom stays there.  A task holds the points of a trie that share the few first bits
+(some ``REGION`` points), where the climb ends.  A sparse sub-trie is compared all with all.  In a dense one
 every component floods the sub-trie: it takes out whatever it reaches, so a
 tight family of any size costs one pass, the components are exact within the
 sub-trie, and the edges emitted are a spanning forest and not all pairs.  Every
@@ -42,7 +45,7 @@ from .components import components
 BITS = 256
 LANES = BITS // 64
 SPARE, LEAST_DEPTH = 2, 16
-DENSE = 48
+DENSE, REGION = 48, 1 << 14
 RADIUS, RECALL, RATIO = 40, 0.93, 0.6
 SEED = 20240229
 
@@ -101,11 +104,33 @@ def _near(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, radius:
     return (apart <= radius) & (np.minimum(an, bn) >= ratio * np.maximum(an, bn))
 
 
-def subtrie_edges(path: np.ndarray, sig: np.ndarray, n: np.ndarray, key: np.ndarray, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges (positions) that span the components of each run of equal ``key``; rows are sorted by key, then path."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
+def climbed(path: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
+    """Where the sub-tries begin after the climb; rows are sorted by key, then path.
+
+    A sub-trie is what shares the shortest prefix (within a run of equal ``key``) that at most DENSE points share, or
+    one of ``depth`` bits if that is shared by more.
+    """
+    n = len(key)
+    apart = np.ones(n, bool)
+    apart[1:] = key[1:] != key[:-1]
+    begins = np.ones(n, bool)
+    for d in range(depth, -1, -1):
+        here = apart.copy()
+        if d:
+            prefix = path >> np.uint64(64 - d)
+            here[1:] |= prefix[1:] != prefix[:-1]
+        if d == depth:
+            begins = here
+            continue
+        first = np.flatnonzero(here)
+        size = np.diff(np.append(first, n))
+        begins &= here | np.repeat(size > DENSE, size)
+    return np.flatnonzero(begins)
+
+
+def subtrie_edges(path: np.ndarray, sig: np.ndarray, n: np.ndarray, key: np.ndarray, radius: int, ratio: float, depth: int = LEAST_DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Verified edges (positions) that span the components of each sub-trie; rows are sorted by key (trie and region), then path."""
+    first = climbed(path, key, depth)
     size = np.diff(np.append(first, len(key)))
     left, right = [], []
     own = np.repeat(size, size)
@@ -139,6 +164,7 @@ def subtrie_edges(path: np.ndarray, sig: np.ndarray, n: np.ndarray, key: np.ndar
 def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """Edges (a, b) between the points (doc_id, n_words, s0 ..) whose components are the groups."""
     depth, tries = plan(count, radius=radius)
+    top = min(depth, max(0, math.ceil(math.log2(max(count, 1) / REGION))))
     where = permutations(tries)
     names = ["doc_id", "n_words", *(f"s{k}" for k in range(LANES))]
 
@@ -148,30 +174,33 @@ def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float
             bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
             for t in range(tries):
                 path = np.ascontiguousarray(np.packbits(bits[:, where[t]], axis=1)).view(">u8")[:, 0].astype(np.uint64)
-                part = kernel.mix((path >> np.uint64(64 - depth)) * np.uint64(tries) + np.uint64(t)).view(np.int64)
+                region = path >> np.uint64(64 - top) if top else np.zeros_like(path)
+                part = kernel.mix(region * np.uint64(tries) + np.uint64(t)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(path.view(np.int64)), *batch.columns], ["part", "path", *names])
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of the last part, which may go on
 
-        def edges(t: pa.Table) -> pa.RecordBatch:
+        def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
             col = {c: t[c].to_numpy() for c in ["part", "path", *names]}
             sig = np.stack([col[f"s{k}"].view(np.uint64) for k in range(LANES)], 1)
-            a, b = subtrie_edges(col["path"], sig, col["n_words"], col["part"], radius, ratio)
+            a, b = subtrie_edges(col["path"].view(np.uint64), sig, col["n_words"], col["part"], radius, ratio, depth)
             return pa.RecordBatch.from_arrays([pa.array(col["doc_id"][a]), pa.array(col["doc_id"][b])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            part = t["part"].to_numpy()
+            part = np.asarray(batch.column(0))
+            if held and held[-1].column(0)[-1].as_py() == part[-1]:
+                held.append(batch)
+                continue
             end = int(np.searchsorted(part, part[-1]))
-            if end:
-                yield edges(t.slice(0, end))
-            rest = t.slice(end)
-        if rest is not None and rest.num_rows:
-            yield edges(rest)
+            if held or end:
+                yield edges([*held, batch.slice(0, end)])
+            held = [batch.slice(end)]
+        if held:
+            yield edges(held)
 
     spread = points.select(*names).mapInArrow(plant, f"part bigint, path bigint, {', '.join(f'{c} bigint' for c in names)}")
     return spread.repartition("part").sortWithinPartitions("part", "path").mapInArrow(climb, "a bigint, b bigint").where("a <> b")

@@ -96,6 +96,46 @@ def test_simhash_plan_recall_by_distance(points):
         assert found >= 0.91, (distance, found)
 
 
+def test_climb_of_the_forest():
+    """Sub-tries end at the shortest prefix that few points share, and sparse near copies meet there."""
+    rng = np.random.default_rng(3)
+    path = rng.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
+    path[:1500] >>= np.uint64(9)  # a dense region
+    path[:100] = np.uint64(77)
+    key = np.sort(rng.integers(0, 2, 3000))
+    order = np.lexsort((path, key))
+    path, key, depth = path[order], key[order], 20
+    first = simhash_forest.climbed(path, key, depth).tolist()
+    got = {(int(key[a]), *path[a:b].tolist()) for a, b in zip(first, [*first[1:], 3000])}
+    want = set()
+    for i in range(3000):
+        for d in range(depth + 1):
+            same = (key == key[i]) & ((path >> np.uint64(64 - d) == path[i] >> np.uint64(64 - d)) if d else True)
+            if same.sum() <= simhash_forest.DENSE or d == depth:
+                want.add((int(key[i]), *path[same].tolist()))
+                break
+    assert got == want and max(len(x) for x in got) > simhash_forest.DENSE + 1
+
+
+def test_sparse_copies_meet_above_the_bottom(spark):
+    """At the plan of 10^7 points a pair that differs in a bit of the bottom prefix in every trie is found in a sparse region."""
+    depth, tries = simhash_forest.plan(10**7)
+    bottom = simhash_forest.permutations(tries)[:, :depth]
+    apart, left = np.zeros(simhash_forest.BITS, np.uint8), np.ones(tries, bool)
+    while left.any():  # the bit that is in most of the tries left
+        bit = np.bincount(bottom[left].ravel(), minlength=simhash_forest.BITS).argmax()
+        apart[bit] = 1
+        left &= ~(bottom == bit).any(1)
+    assert apart.sum() <= simhash_forest.RADIUS
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (2000, simhash_forest.BITS)).astype(np.uint8)
+    bits = np.concatenate([bits, bits[:20] ^ apart])
+    lanes = np.packbits(bits, axis=1).view(np.int64).tolist()
+    points = spark.createDataFrame([(i, 50, *x) for i, x in enumerate(lanes)], "doc_id bigint, n_words bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash_forest.near_edges(points, 10**7).collect()}
+    assert got == {(i, 2000 + i) for i in range(20)}
+
+
 def test_simhash_dense_groups():
     """A family too large to compare all with all has the same components as by brute force."""
     rng = np.random.default_rng(1)
