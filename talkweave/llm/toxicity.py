@@ -18,7 +18,8 @@ score frequencies of held-out clean documents and K by maximum likelihood from
 their greatest scores.  The r-th best segment has
 E_r = K n exp(-lambda S_r) and P_r = P(Poisson(E_r) >= r); a document's p is
 the least 2^r P_r, so one strong passage or several weaker ones count alike.
-It is toxic if p <= ``ALPHA``.
+It is toxic if p <= ``ALPHA``; its passages are then those up to the rank r of
+that least value, and any other with E_r <= 0.05.
 
 Cases: null and empty texts are clean.  Texts of any length are scanned whole.
 Repeated rows give repeated results; a null ``doc_id`` is carried through.
@@ -100,15 +101,15 @@ def tail(expected: float, r: int) -> float:
 
 def judge(lexicon: Lexicon, n: int, found: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float]]]:
     """p of a document of ``n`` words, and its significant passages."""
-    p, passages = 1.0, []
+    p, rank, alone = 1.0, 0, 0
     ranked = sorted(found, key=lambda s: (-s[2], s[0]))
     for r, s in enumerate(ranked, 1):
         expected = lexicon.k * n * math.exp(-min(lexicon.rate * s[2], 700))
-        if r <= 60:
-            p = min(p, 2.0**r * tail(expected, r))
-        if expected <= 0.05 or p <= ALPHA:
-            passages.append(s)
-    return p, sorted(passages)
+        if expected <= 0.05:
+            alone = r
+        if r <= 60 and (own := 2.0**r * tail(expected, r)) < p:
+            p, rank = own, r
+    return p, sorted(ranked[: max(alone, rank if p <= ALPHA else 0)])
 
 
 def lexicon_of(vocabulary: np.ndarray, toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, corpus_docs: float, docs: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -109,6 +109,21 @@ def test_poisson_tail():
             assert math.isclose(toxicity.tail(e, r), want, rel_tol=1e-6, abs_tol=1e-12)
 
 
+def equal_passages(count, expected):
+    """A lexicon, a number of words and so many equal segments of that E, then two of E = 90."""
+    lexicon, n = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0), rate=1.0, k=1.0), 10**6
+    strong = [(10 * i, 10 * i + 3, math.log(n / expected)) for i in range(count)]
+    return lexicon, n, strong, [*strong, (10**5, 10**5 + 1, math.log(n / 90)), (10**5 + 9, 10**5 + 9, math.log(n / 90))]
+
+
+def test_passages_up_to_the_rank_of_p():
+    """Passages that are significant together are all reported, and trivial ones after them aren't."""
+    for count, expected in ((6, 0.1), (4, 0.06), (1, 0.0001), (9, 0.7)):
+        lexicon, n, strong, found = equal_passages(count, expected)
+        p, passages = toxicity.judge(lexicon, n, found)
+        assert p <= toxicity.ALPHA and passages == strong
+
+
 def test_toxic_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     lexicon = toxicity.fit(docs, labels)
