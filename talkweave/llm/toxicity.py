@@ -17,7 +17,7 @@ value law, P(max >= x) = 1 - exp(-K n exp(-lambda x)), with lambda from the
 score frequencies of held-out clean documents and K by maximum likelihood from
 their greatest scores.  The r-th best segment has
 E_r = K n exp(-lambda S_r) and P_r = P(Poisson(E_r) >= r); a document's p is
-the least 2^r P_r, so one strong passage or several weaker ones count alike.
+the least 2^r P_r over all ranks (in logarithms, so for any E_r), so one strong passage or several weaker ones count alike.
 It is toxic if p <= ``ALPHA``; its passages are then those up to the rank r of
 that least value, and any other with E_r <= 0.05.
 
@@ -84,31 +84,44 @@ def segments(place: list[int], score: list[float], drift: float = DRIFT) -> list
     return [(a, b, y - x) for x, y, a, b in open_]
 
 
-def tail(expected: float, r: int) -> float:
-    """P(Poisson(expected) >= r), precise where it is small."""
-    if expected > 30:
-        return 1.0
-    term = math.exp(-expected)
-    for i in range(1, r + 1):
-        term *= expected / i
-    total, i = 0.0, r
-    while term > total * 1e-12 and i < r + 400:
+def log_term(log_expected: float, r: int) -> float:
+    """Logarithm of P(Poisson(expected) = r)."""
+    return r * log_expected - math.exp(log_expected) - math.lgamma(r + 1)
+
+
+def log_tail(log_expected: float, r: int) -> float:
+    """Logarithm of P(Poisson(expected) >= r), precise where that is small."""
+    if r <= 0:
+        return 0.0
+    expected = math.exp(log_expected)
+    up = r > expected  # else the terms below r are summed, from the largest
+    term, total, i = 1.0, 0.0, r if up else r - 1
+    first = log_term(log_expected, i)
+    while term > total * 1e-17:
         total += term
-        i += 1
-        term *= expected / i
-    return min(total, 1.0)
+        i += 1 if up else -1
+        term *= expected / i if up else (i + 1) / expected
+    value = first + math.log(total)
+    return min(value, 0.0) if up else math.log1p(-min(math.exp(value), 1 - 1e-16))
+
+
+def tail(expected: float, r: int) -> float:
+    """P(Poisson(expected) >= r)."""
+    return math.exp(log_tail(math.log(expected), r)) if expected > 0 else float(r <= 0)
 
 
 def judge(lexicon: Lexicon, n: int, found: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float]]]:
     """p of a document of ``n`` words, and its significant passages."""
-    p, rank, alone = 1.0, 0, 0
+    least, rank, alone = 0.0, 0, 0
     ranked = sorted(found, key=lambda s: (-s[2], s[0]))
     for r, s in enumerate(ranked, 1):
-        expected = lexicon.k * n * math.exp(-min(lexicon.rate * s[2], 700))
-        if expected <= 0.05:
+        expected = math.log(lexicon.k * n) - lexicon.rate * s[2]
+        if expected <= math.log(0.05):
             alone = r
-        if r <= 60 and (own := 2.0**r * tail(expected, r)) < p:
-            p, rank = own, r
+        # 2^r P_r is under 1 only if r is over E_r, and at least its first term: most ranks need no sum
+        if math.log(r) > expected and r * math.log(2) + log_term(expected, r) < least and (own := r * math.log(2) + log_tail(expected, r)) < least:
+            least, rank = own, r
+    p = math.exp(least)
     return p, sorted(ranked[: max(alone, rank if p <= ALPHA else 0)])
 
 

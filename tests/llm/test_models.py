@@ -124,6 +124,19 @@ def test_passages_up_to_the_rank_of_p():
         assert p <= toxicity.ALPHA and passages == strong
 
 
+def test_many_passages_of_a_long_text():
+    """p is the least over all ranks, whatever their number and their E."""
+    for count, expected in ((100, 15), (200, 25), (3000, 400)):
+        lexicon, n, strong, found = equal_passages(count, expected)
+        p, passages = toxicity.judge(lexicon, n, strong)
+        want = min(Fraction(2) ** r * sum(Fraction(expected) ** i / math.factorial(i) for i in range(r, r + 200)) for r in ([count] if count > 200 else range(expected + 1, count + 1)))
+        got = math.log(p) if p else -math.inf
+        assert passages == strong and math.isclose(max(got, -700), max(math.log(want.numerator) - math.log(want.denominator) - expected, -700), rel_tol=1e-6)
+    for e, r in ((40.0, 30), (40.0, 40), (1000.0, 900), (1000.0, 1100)):
+        want = 1 - math.fsum(math.exp(i * math.log(e) - e - math.lgamma(i + 1)) for i in range(r))
+        assert math.isclose(toxicity.tail(e, r), want, rel_tol=1e-6)
+
+
 def test_toxic_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     lexicon = toxicity.fit(docs, labels)
