@@ -95,27 +95,24 @@ def arcsort(arcs: DataFrame, by: str = "ilabel") -> DataFrame:
 def compose(a: DataFrame, b: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
     """Arcs of the product of two transducers reachable from ``starts`` (graph, s1, s2): an equi join a round of new states.
 
-    Epsilon moves aren't treated apart. Every round is written to the shared folder, so plans stay short.
+    Label 0 is epsilon: ``a`` may move alone on an epsilon output and ``b`` alone on an epsilon input (with weight 0 on
+    the side that waits). Every round is written to the shared folder, so plans stay short.
     """
-    import uuid
-
     from talkweave.sources import shared
 
-    spark = a.sparkSession
-    folder = f"{shared.folder(spark)}/compose-{uuid.uuid4().hex}"
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
     left = a.select("graph", F.col("src").alias("s1"), F.col("dst").alias("d1"), "ilabel", F.col("olabel").alias("mid"), F.col("weight").alias("w1"))
     right = b.select("graph", F.col("src").alias("s2"), F.col("dst").alias("d2"), F.col("ilabel").alias("mid"), "olabel", F.col("weight").alias("w2"))
-    front = keep(starts.select("graph", "s1", "s2").distinct(), "s0")
+    epsilon, names = F.col("mid").cast("string").isin("0", "<eps>"), ["graph", "s1", "s2", "d1", "d2", "ilabel", "olabel", "weight"]
+    front = shared.materialise(starts.select("graph", "s1", "s2").distinct())
     seen, out = front, None
-    for k in range(1, most):
-        step = keep(front.join(left, ["graph", "s1"]).join(right, ["graph", "s2", "mid"]).select("graph", "s1", "s2", "d1", "d2", "ilabel", "olabel", (F.col("w1") + F.col("w2")).alias("weight")), f"a{k}")
+    for _ in range(1, most):
+        own = front.join(left, ["graph", "s1"])
+        both = own.where(~epsilon).join(right, ["graph", "s2", "mid"]).select("graph", "s1", "s2", "d1", "d2", "ilabel", "olabel", (F.col("w1") + F.col("w2")).alias("weight"))
+        first = own.where(epsilon).select("graph", "s1", "s2", "d1", F.col("s2").alias("d2"), "ilabel", F.col("mid").alias("olabel"), F.col("w1").alias("weight"))
+        second = front.join(right.where(epsilon), ["graph", "s2"]).select("graph", "s1", "s2", F.col("s1").alias("d1"), "d2", F.col("mid").alias("ilabel"), "olabel", F.col("w2").alias("weight"))
+        step = shared.materialise(both.select(names).unionByName(first).unionByName(second))
         out = step if out is None else out.unionByName(step)
-        front = keep(step.select("graph", F.col("d1").alias("s1"), F.col("d2").alias("s2")).distinct().join(seen, ["graph", "s1", "s2"], "left_anti"), f"s{k}")
+        front = shared.materialise(step.select("graph", F.col("d1").alias("s1"), F.col("d2").alias("s2")).distinct().join(seen, ["graph", "s1", "s2"], "left_anti"))
         if not front.take(1):
             return out
         seen = seen.unionByName(front)
@@ -123,22 +120,21 @@ def compose(a: DataFrame, b: DataFrame, starts: DataFrame, most: int = 1000) ->
 
 
 def shortest_distance(arcs: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(graph, state, distance): least total weight from ``starts`` (graph, state), by rounds of relaxation; weights aren't negative."""
-    import uuid
+    """(graph, state, distance): least total weight from ``starts`` (graph, state), by rounds of relaxation.
 
+    A round relaxes the arcs of states whose distance the last one lowered, and it ends when there are none. A cycle
+    of negative weight has no end and raises after ``most`` rounds.
+    """
     from talkweave.sources import shared
 
-    spark = arcs.sparkSession
-    folder = f"{shared.folder(spark)}/distance-{uuid.uuid4().hex}"
-    best = starts.select("graph", "state", F.lit(0.0).alias("distance"))
-    edges = arcs.groupBy("graph", "src", "dst").agg(F.min("weight").alias("w"))
-    before = None
-    for k in range(most):
-        step = best.join(edges, (best["graph"] == edges["graph"]) & (best["state"] == edges["src"])).select(best["graph"], F.col("dst").alias("state"), (F.col("distance") + F.col("w")).alias("distance"))
-        best.unionByName(step).groupBy("graph", "state").agg(F.min("distance").alias("distance")).write.parquet(f"{folder}/{k}")
-        best = spark.read.parquet(f"{folder}/{k}")
-        now = best.agg(F.count("*"), F.sum("distance")).first()
-        if now == before:
+    best = shared.materialise(starts.select("graph", "state").distinct().withColumn("distance", F.lit(0.0)))
+    edges = arcs.groupBy("graph", F.col("src").alias("state"), "dst").agg(F.min("weight").alias("w"))
+    front = best
+    for _ in range(most):
+        step = front.join(edges, ["graph", "state"]).groupBy("graph", F.col("dst").alias("state")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
+        front = step.join(best, ["graph", "state"], "left").where("distance is null or new < distance")
+        front = shared.materialise(front.select("graph", "state", F.col("new").alias("distance")))
+        if not front.take(1):
             return best
-        before = now
+        best = shared.materialise(best.join(front, ["graph", "state"], "left_anti").unionByName(front))
     raise RuntimeError(f"no end after {most} rounds")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ S = {}
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared.folder(spark)}/annotations-{uuid.uuid4().hex}"
+    return shared.path(spark, "annotations")
 
 
 def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +272,7 @@ S["fst_shortest_distance"] = f"""WITH RECURSIVE {ARCS}, d AS (SELECT DISTINCT gr
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each graph composed with a one-state transducer that renames o-labels and doubles nothing."""
     arcs, _ = _arcs(spark, sf_dir)
-    loop = arcs.select("graph").distinct().crossJoin(spark.createDataFrame([(f"o{k}", f"x{k % 2}") for k in range(5)], "ilabel string, olabel string"))
+    loop = arcs.select("graph").distinct().select("graph", F.explode(F.array(*(F.struct(F.lit(f"o{k}").alias("ilabel"), F.lit(f"x{k % 2}").alias("olabel")) for k in range(5)))).alias("l")).select("graph", "l.*")
     loop = loop.select("graph", F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"), "ilabel", "olabel", F.lit(0.5).alias("weight"))
     starts = arcs.where("src = 1").select("graph", F.lit(1).cast("bigint").alias("s1"), F.lit(0).cast("bigint").alias("s2")).distinct()
     return graph.compose(arcs, loop, starts).select("graph", "s1", "d1", "ilabel", "olabel", "weight")
