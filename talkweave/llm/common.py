@@ -1,49 +1,24 @@
-"""Plumbing of the corpus operators: shared folder, samples, column checks."""
+"""Plumbing of the corpus operators: tables, samples, column checks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from talkweave.sources import shared
+
+#: The folder that all executors share, and tables written there: see ``talkweave.sources.shared``.
+shared_folder, materialise = shared.folder, shared.materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session doesn't name one (tests, local mode) a temporary
-    folder of this process stands in; it goes when the process ends.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="talkweave-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage.
-
-    A lost executor takes nothing with it: the files are outside the executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -55,15 +30,37 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns
 
 
-def sampled_ids(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """The ``rows`` rows of least hash of ``key``: a bounded sample that depends on neither order nor partitions."""
-    ids = df.where(F.col(key).isNotNull())
-    return ids.withColumn("_rank", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_rank", key).limit(rows).drop("_rank")
+def own(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns, cast; exactly these names are meant, so a ``Text`` beside ``text`` doesn't matter."""
+    need(df, *kinds)
+    plain, names = numbered(df)
+    kept = {n: plain[f"c{names.index(n)}"] for n in kinds}
+    same = dict(df.dtypes) if len(set(names)) == len(names) else {}
+    return plain.select(*(c.alias(n) if same.get(n) == kinds[n] else c.cast(kinds[n]).alias(n) for n, c in kept.items()))
+
+
+def sampled_ids(ids: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Of the distinct values of ``doc_id`` those ``rows`` of least hash: a bounded sample that depends on neither order, copies nor partitions.
+
+    A task sends its own ``rows`` least ones, each once, so neither an id that a third of all rows has nor the number
+    of rows matters.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            rank, key = np.concatenate([rank, np.asarray(batch.column(0))]), np.concatenate([key, np.asarray(batch.column(1))])
+            order = np.lexsort((key, rank))
+            rank, key = rank[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (rank[1:] != rank[:-1]) | (key[1:] != key[:-1])
+            rank, key = rank[new][:rows], key[new][:rows]
+        yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(key)], ["_rank", "doc_id"])
+
+    ranked = ids.where("doc_id is not null").select(F.xxhash64(F.lit(seed), "doc_id").alias("_rank"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    return ranked.mapInArrow(least, "_rank bigint, doc_id bigint").distinct().orderBy("_rank", "doc_id").limit(rows).select("doc_id")
 
 
-def windowed_text(column: str, max_chars: int) -> F.Column:
-    """A text, or of a longer one eight windows spread over all of it; for fitting only."""
-    part = max_chars // 8
-    c, n = F.col(column), F.length(column)
-    spread = F.concat_ws("\n", *(F.substring(c, F.floor((n - part) * i / 7).cast("int") + 1, F.lit(part)) for i in range(8)))
-    return F.when(n <= max_chars, c).otherwise(spread)
+def one_a_doc(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row of each ``doc_id`` (the least), so that an id that is repeated a million times is one row wherever it goes next."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "r.*")

@@ -1,12 +1,20 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
-Weights: for each word of the labelled sample, the log-odds ratio of toxic to
-clean documents with an informative Dirichlet prior, whose pseudo-counts are
-the word's document frequencies over the *whole* corpus (``PRIOR`` documents'
-worth).  Words whose log-odds are at least ``LEAST_SCORE`` and lie ``LEAST_Z``
-standard errors above zero score their log-odds; every other word scores ``-DRIFT``.  All counts are of
-documents, so that a document that repeats a word ten thousand times says it
-once.
+Votes: labelled documents vote for or against their words, each word once a
+document.  Near copies have one vote a class between them: documents of a class
+whose sets of three-word shingles collide in one of ``BANDS`` MinHash bands
+with a document of lesser hash don't vote.  So a text that was copied a
+thousand times is no more evidence than one that wasn't.
+
+Weights: a word with a toxic and c clean votes is toxic if a binomial test of
+its share against the share of toxic votes over all words (Chernoff's bound on
+the tail, p <= exp(-n KL)) holds at a false-discovery rate of ``FALSE``
+(Benjamini-Hochberg) over all words that could reach it (Tarone: a word with so
+few votes that even unanimous ones can't be significant isn't tested).  Its
+weight is the log-odds ratio of toxic to clean documents with an informative
+Dirichlet prior, whose pseudo-counts are the word's document frequencies over
+the *whole* corpus (``PRIOR`` documents' worth); words of at least
+``LEAST_SCORE`` score it, and every other word scores ``-DRIFT``.
 
 Segments: one linear scan of a text's scores finds all maximal scoring
 segments (disjoint; none can be extended or split with gain).  Only scoring
@@ -23,9 +31,9 @@ that least value, and any other with E_r <= 0.05.
 
 Cases: null and empty texts are clean.  Texts of any length are scanned whole.
 Repeated rows give repeated results; a null ``doc_id`` is carried through.
-Several labels of one id: toxic if any is.  With no toxic or no clean label
-nothing is toxic.  Of an empty table the result is empty; other columns are
-ignored.
+Several labels of one id: toxic if any is; several texts of one id: the least
+votes.  With no toxic or no clean label nothing is toxic.  Of an empty table
+the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +49,8 @@ from pyspark.sql import functions as F
 
 from . import common, kernel
 
-PRIOR, LEAST_Z, LEAST_SCORE, LEAST_DOCS, DRIFT, ALPHA = 20.0, 3.5, 2.0, 3, 0.2, 1e-3
+PRIOR, LEAST_SCORE, FALSE, DRIFT, ALPHA = 20.0, 2.0, 0.01, 0.2, 1e-3
+BANDS, ROWS = 16, 4
 PASSAGE = "array<struct<first_word:int,last_word:int,score:double>>"
 
 
@@ -126,22 +135,17 @@ def judge(lexicon: Lexicon, n: int, found: list[tuple[int, int, float]]) -> tupl
 
 
 def lexicon_of(vocabulary: np.ndarray, toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, corpus_docs: float, docs: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Scoring words and their scores, from the document counts of ``vocabulary`` (sorted hashes) in each class and the corpus."""
+    """Scoring words and their scores, from the votes for the significant words ``vocabulary`` (sorted hashes) in each class and their corpus counts."""
     alpha = PRIOR * (corpus + 0.5) / (corpus_docs + 1)
     odds = [np.log((y + alpha) / np.maximum(n + PRIOR - y - alpha, 0.5)) for y, n in ((toxic, docs[0]), (clean, docs[1]))]
     delta = odds[0] - odds[1]
-    z = delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    chosen = (z >= LEAST_Z) & (delta >= LEAST_SCORE)
+    chosen = delta >= LEAST_SCORE
     return vocabulary[chosen], delta[chosen]
 
 
-def calibrate(lexicon: Lexicon, clean: pa.Array) -> Lexicon:
-    """Sets lambda and K from clean texts."""
-    w = kernel.words(clean)
-    bounds = w.bounds()
-    at, score = lexicon.hits(w.hash)
-    p = np.bincount(np.searchsorted(lexicon.words, w.hash[at]), minlength=len(lexicon.words)) + 1.0 / max(len(lexicon.words), 1)
-    p /= len(w.hash) + 1
+def calibrate(lexicon: Lexicon, n: np.ndarray, best: np.ndarray, count: np.ndarray) -> Lexicon:
+    """Sets lambda and K from clean texts: their word counts, greatest segment scores, and how often each scoring word occurs in them all."""
+    p = (count + 1.0 / max(len(lexicon.words), 1)) / (n.sum() + 1)
     rest = 1 - p.sum()
     lo, hi = 1e-6, 60.0
     for _ in range(200):
@@ -149,16 +153,40 @@ def calibrate(lexicon: Lexicon, clean: pa.Array) -> Lexicon:
         value = rest * math.exp(-mid * DRIFT) + float((p * np.exp(np.minimum(mid * lexicon.scores, 700))).sum())
         lo, hi = (mid, hi) if value < 1 else (lo, mid)
     lexicon.rate = max(lo, 1e-3)
-    best = np.zeros(w.rows)
-    ends = np.searchsorted(at, bounds)
-    for r in np.flatnonzero(np.diff(ends)).tolist():
-        a, b = ends[r], ends[r + 1]
-        best[r] = max(s for _, _, s in segments((at[a:b] - bounds[r]).tolist(), score[a:b].tolist()))
-    n = np.diff(bounds)
     lexicon.k = float((n > 0).sum() / max((n * np.exp(-lexicon.rate * best)).sum(), 1e-9)) if (n > 0).any() else 1.0
     return lexicon
 
 
+def clean_scores(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``calibrate`` needs of the texts of ``rows``; of a text only its figures reach the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for lo, hi in kernel.groups(batch.column(0)):
+                w = kernel.words(batch.column(0).slice(lo, hi - lo))
+                bounds = w.bounds()
+                at, score = known.hits(w.hash)
+                ends, best = np.searchsorted(at, bounds), np.zeros(w.rows)
+                for r in np.flatnonzero(np.diff(ends)).tolist():
+                    a, b = ends[r], ends[r + 1]
+                    best[r] = max(s for _, _, s in segments((at[a:b] - bounds[r]).tolist(), score[a:b].tolist()))
+                word, n = np.unique(np.searchsorted(known.words, w.hash[at]), return_counts=True)
+                none = [None] * (w.rows - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.diff(bounds)), pa.array(best), pa.array([word.tolist(), *none], pa.list_(pa.int64())), pa.array([n.tolist(), *none], pa.list_(pa.int64()))], ["n", "best", "word", "times"]
+                )
+
+    got = rows.select("text").mapInArrow(run, "n bigint, best double, word array<bigint>, times array<bigint>").collect()
+    count = np.zeros(len(lexicon.words))
+    for r in got:
+        if r.word:
+            count[r.word] += r.times
+    got.sort(key=lambda r: (r.n, r.best))
+    return np.array([r.n for r in got], float), np.array([r.best for r in got], float), count
+
+
 def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each word of ``vocabulary`` occurs, and how many documents have words."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -185,8 +213,48 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return count[:-1], int(count[-1])
 
 
-def class_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(word, toxic, clean): in how many labelled documents of each class a word occurs, if toxic in LEAST_DOCS at least."""
+def sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, bands) of the wanted ids, one row each: the hash of its text and its MinHash band keys (none if it has no word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in kernel.groups(batch.column(2)):
+                h, row = kernel.shingles(kernel.words(batch.column(2).slice(lo, hi - lo)), 3)
+                keys = [[]] * (hi - lo)
+                if len(h):
+                    new = np.ones(len(row), bool)
+                    new[1:] = row[1:] != row[:-1]
+                    first = np.flatnonzero(new)
+                    found = np.zeros((len(first), BANDS), np.uint64)
+                    for b in range(BANDS):
+                        for r in range(ROWS):
+                            seed = np.uint64((b * ROWS + r + 1) * kernel.MULT & 0xFFFFFFFFFFFFFFFF)
+                            found[:, b] = kernel.mix(found[:, b] * np.uint64(3) + np.minimum.reduceat(kernel.mix(h ^ seed), first))
+                    for r, k in zip(row[first].tolist(), (found >> np.uint64(33)).astype(np.int64).tolist()):
+                        keys[r] = k
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "text", "bands"])
+
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return common.one_a_doc(rows.mapInArrow(run, "doc_id bigint, text bigint, bands array<int>"), "text", "bands")
+
+
+def voters(toxic: np.ndarray, bands: list[list[int]]) -> np.ndarray:
+    """Which documents (in order of their hash) vote: those with words that collide with none before them of their class."""
+    out = np.array([bool(b) for b in bands], bool)
+    at = np.flatnonzero(out)
+    if not len(at):
+        return out
+    keys = np.array([bands[i] for i in at], np.int64) * 2 + toxic[at][:, None]
+    for column in keys.T:
+        _, first = np.unique(column, return_index=True)
+        new = np.zeros(len(at), bool)
+        new[first] = True
+        out[at] &= new
+    return out
+
+
+def votes(docs: DataFrame, voting: DataFrame) -> DataFrame:
+    """(word, toxic, clean): how many documents of ``voting`` (doc_id, h, toxic) of each class have the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,42 +266,79 @@ def class_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                 toxic = np.bincount(at, side[row], len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(u)) - toxic)], ["word", "toxic", "clean"])
 
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labelled), "doc_id").select("text", "toxic")
-    sums = rows.mapInArrow(run, "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return sums.where(F.col("toxic") >= LEAST_DOCS)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50000, calibration_rows: int = 2000, max_chars: int = 16000, seed: int = 3) -> Lexicon:
-    """Fits the lexicon on at most ``sample_rows`` labelled rows and calibrates on at most ``calibration_rows`` others.
-
-    Of the latter the driver reads the clean texts (of a long one eight windows of ``max_chars`` in all). Prior
-    counts are of all documents.
+    rows = docs.where("text is not null").join(F.broadcast(voting), "doc_id").where(F.xxhash64("text") == F.col("h"))
+    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic")  # a row that is there twice votes once
+    return rows.mapInArrow(run, "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def least_votes(sizes: dict[int, int], share: float) -> tuple[int, int]:
+    """The least number of votes with which a word can be significant at all, and how many words have so many (``sizes``: words by votes)."""
+    tested = sum(sizes.values())
+    for n in range(1, max(sizes, default=0) + 1):
+        if n * math.log(share) <= math.log(FALSE / max(tested, 1)):
+            return n, tested
+        tested -= sizes.get(n, 0)
+    return max(sizes, default=0) + 1, 0
+
+
+def discoveries(log_p: np.ndarray, tested: int) -> np.ndarray:
+    """Which of these p-values (logarithms) hold at the false-discovery rate among so many tests, all others being greater."""
+    order = np.argsort(log_p, kind="stable")
+    good = np.flatnonzero(log_p[order] <= np.log(FALSE * np.arange(1, len(log_p) + 1) / max(tested, 1)))
+    out = np.zeros(len(log_p), bool)
+    out[order[: good[-1] + 1 if len(good) else 0]] = True
+    return out
+
+
+def significant(counted: DataFrame) -> list:
+    """Rows (word, toxic, clean) of the words whose share of toxic votes is significantly high."""
+    by_size = counted.groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("words"), F.sum("toxic").alias("toxic")).collect()
+    every, toxic = sum(r.n * r.words for r in by_size), sum(r.toxic for r in by_size)
+    if not 0 < toxic < every:
+        return []
+    share = toxic / every
+    least, tested = least_votes({r.n: r.words for r in by_size}, share)
+    a, n = F.col("toxic"), F.col("toxic") + F.col("clean")
+    log_p = -(a * F.log(a / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0))
+    got = counted.where((n >= least) & (a > n * share)).withColumn("log_p", log_p).where(F.col("log_p") <= math.log(FALSE)).collect()
+    chosen = discoveries(np.array([r.log_p for r in got]), tested)
+    return [r for r, ok in zip(got, chosen) if ok]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50000, calibration_rows: int = 2000, seed: int = 3) -> Lexicon:
+    """Fits the lexicon on at most ``sample_rows`` labelled documents and calibrates on at most ``calibration_rows`` others.
+
+    Texts are used whole. The driver receives a sketch of each of these documents, the words that are significant by
+    themselves and a few figures of each text that calibrates. Prior counts are of all documents.
     """
-    common.need(docs, "doc_id", "text")
-    common.need(labels, "doc_id", "toxic")
-    spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    ranked = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(sample_rows + calibration_rows)
-    picked = sorted((r.h, r.doc_id, r.toxic) for r in ranked.collect())
-    apart = min(calibration_rows, len(picked) // 5)
-    schema = "doc_id bigint, toxic int"
-    held = spark.createDataFrame([(d, t) for _, d, t in picked[:apart] if not t], schema)
-    got = class_counts(docs, spark.createDataFrame([(d, t) for _, d, t in picked[apart:]], schema)).collect()
-    none = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    sides = sum(t for _, _, t in picked[apart:]), sum(1 - t for _, _, t in picked[apart:])
-    if not got or not all(sides):
+    docs, labels = common.own(docs, doc_id="bigint", text="string"), common.own(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic is not null")
+    spark, none = docs.sparkSession, Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+    ids = common.materialise(common.sampled_ids(labels, sample_rows + calibration_rows, seed))
+    known = labels.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    rows = sketches(docs, ids).join(F.broadcast(known), "doc_id").withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
+    got = sorted(rows.collect(), key=lambda r: (r.place, r.doc_id))
+    toxic = np.array([r.toxic for r in got], np.int64)
+    ok = voters(toxic, [r.bands for r in got])
+    apart = min(calibration_rows, len(got) // 5)
+    fit_, held = np.flatnonzero(ok[apart:]) + apart, np.flatnonzero(ok[:apart] & (toxic[:apart] == 0))
+    sides = int(toxic[fit_].sum()), int((1 - toxic[fit_]).sum())
+    if not all(sides):
+        return none
+    voting = lambda at: spark.createDataFrame([(got[i].doc_id, got[i].text, got[i].toxic) for i in at.tolist()], "doc_id bigint, h bigint, toxic int")
+    words_ = significant(common.materialise(votes(docs, voting(fit_))))
+    if not words_:
         return none
-    vocabulary = np.array([r.word for r in got], np.int64).view(np.uint64)
+    vocabulary = np.array([r.word for r in words_], np.int64).view(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary = vocabulary[order]
-    toxic, clean = (np.array([r[k] for r in got], float)[order] for k in ("toxic", "clean"))
+    yes, no = (np.array([r[k] for r in words_], float)[order] for k in ("toxic", "clean"))
     corpus, corpus_docs = corpus_counts(docs, vocabulary)
-    words, scores = lexicon_of(vocabulary, toxic, clean, corpus, corpus_docs, sides)
+    words, scores = lexicon_of(vocabulary, yes, no, corpus, corpus_docs, sides)
     if not len(words):
         return none
-    rows = docs.select("doc_id", common.windowed_text("text", max_chars).alias("text")).where("text is not null")
-    texts = sorted(r.text for r in rows.join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi").collect())
-    return calibrate(Lexicon(words, scores), pa.array(texts, pa.string()))
+    lexicon = Lexicon(words, scores)
+    clean = docs.where("text is not null").join(F.broadcast(voting(held)), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
+    return calibrate(lexicon, *clean_scores(clean, lexicon))
 
 
 def toxic_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -259,8 +364,7 @@ def toxic_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             columns = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "p_value", "score", "passages"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    return own.mapInArrow(run, f"doc_id bigint, n_words int, p_value double, score double, passages {PASSAGE}")
+    return common.own(docs, doc_id="bigint", text="string").where("text is not null").mapInArrow(run, f"doc_id bigint, n_words int, p_value double, score double, passages {PASSAGE}")
 
 
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
