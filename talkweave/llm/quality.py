@@ -15,7 +15,7 @@ and metadata alone (``n_words`` 0) and ``keep`` is false.  Null language or
 source is a value of its own.  Very long texts are used whole.  Repeated rows
 give repeated results; a null ``doc_id`` is carried through.  Labels: rows
 without a label or id are no evidence, several labels of an id count by their
-mean.  With no labelled row, or one class only, every document with words is
+mean, several texts of one are one (the least).  With no labelled row, or one class only, every document with words is
 kept at score 0.5.  Of an empty table the result is empty; other columns are
 ignored.
 """
@@ -129,12 +129,11 @@ def logistic(z: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(text: pa.Array, lang: pa.Array, source: pa.Array, good: np.ndarray, epochs: int = 6, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine | None:
-    """Fits a machine; every fifth row is held out for the threshold. None if there is only one class."""
+def train(row: np.ndarray, f: np.ndarray, x: np.ndarray, good: np.ndarray, epochs: int = 6, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine | None:
+    """Fits a machine to the features of rows; every fifth row is held out for the threshold. None if there is only one class."""
     good = np.asarray(good, float)
     if not len(good) or good.min() == good.max():
         return None
-    row, f, x, _ = features(text, lang, source)
     ends = np.searchsorted(row, np.arange(len(good) + 1))
     rng = np.random.default_rng(seed)
     held = np.arange(len(good)) % 5 == 4
@@ -176,16 +175,29 @@ def best_cut(p: np.ndarray, good: np.ndarray) -> float:
     return float((edge[k] + edge[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, max_chars: int = 16000, seed: int = 5) -> Machine | None:
-    """Trains on at most ``sample_rows`` labelled rows, of a long text eight windows of ``max_chars`` in all."""
-    common.need(docs, "doc_id", "text", "lang", "source")
-    common.need(labels, "doc_id", "quality")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("good"))
-    picked = common.sampled_ids(known, "doc_id", sample_rows, seed)
-    rows = docs.select("doc_id", common.windowed_text("text", max_chars).alias("text"), "lang", "source").where("text is not null")
-    got = rows.join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text", "lang", "source"]).drop_duplicates("doc_id")
-    column = [pa.array(got[c].tolist(), pa.string()) for c in ("text", "lang", "source")]
-    return train(*column, got["good"].to_numpy(), seed=seed)
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, seed: int = 5) -> Machine | None:
+    """Trains on at most ``sample_rows`` labelled documents, whole texts.
+
+    The driver receives their features (of a text of any length ``SIZE`` at most), and of an id that is repeated one row.
+    """
+    docs = common.own(docs, doc_id="bigint", text="string", lang="string", source="string").where("text is not null")
+    labels = common.own(labels, doc_id="bigint", quality="double").where("doc_id is not null and quality is not null")
+    known = labels.join(F.broadcast(common.sampled_ids(labels, sample_rows, seed)), "doc_id").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("good"))
+    rows = common.one_a_doc(docs.join(F.broadcast(known), "doc_id"), "text", "lang", "source", "good")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in kernel.groups(batch.column(1), 2 << 20):
+                own = batch.slice(lo, hi - lo)
+                row, f, x, _ = features(own.column(1), own.column(2), own.column(3))
+                ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(4), pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x))], ["doc_id", "good", "f", "x"])
+
+    got = rows.mapInArrow(run, "doc_id bigint, good double, f array<int>, x array<double>").toPandas().sort_values("doc_id")
+    if not len(got):
+        return None
+    row = np.repeat(np.arange(len(got)), got["f"].map(len))
+    return train(row, np.concatenate(got["f"].tolist()).astype(np.int64), np.concatenate(got["x"].tolist()), got["good"].to_numpy(), seed=seed)
 
 
 def classify(docs: DataFrame, machine: Machine | None) -> DataFrame:
@@ -202,8 +214,7 @@ def classify(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 keep = (n > 0) & (p >= (m.threshold if m else 0))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n.astype(np.int32)), pa.array(np.round(p, 6)), pa.array(keep)], ["doc_id", "n_words", "score", "keep"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return own.mapInArrow(run, "doc_id bigint, n_words int, score double, keep boolean")
+    return common.own(docs, doc_id="bigint", text="string", lang="string", source="string").mapInArrow(run, "doc_id bigint, n_words int, score double, keep boolean")
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
