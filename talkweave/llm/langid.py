@@ -8,12 +8,17 @@ numpy on a bounded sample of rows that carry a language.  For scoring, the
 embedding table times the weights is one integer table, so that a text costs a
 lookup per byte and its sums don't depend on how rows are batched.
 
-Rejection is calibrated on held-out rows.  A temperature is fitted by
-likelihood; the confidence is the best probability times the share of subwords
-that training has seen, so that a foreign script or noise gets a low one.  The
-threshold is the least confidence above which the held-out error stays under
-``max_error``, but no more than ``max_lost`` of the held-out whole texts fall
-below it, and it lies between ``FLOOR`` and ``CEILING``.
+Texts that mix languages: a text is judged by parts of ``PART`` bytes, each
+with its own probabilities.  The language is that of the greatest mean
+probability over all subwords; the confidence is the mean of the parts' best
+probabilities, each times the share of its subwords that training has seen.
+So a text of two known languages is as sure as its parts are, and a foreign
+script or noise isn't.
+
+Rejection is calibrated on held-out documents.  The temperature is fitted by
+likelihood; the threshold is the least confidence above which the error on
+held-out whole texts stays under ``max_error`` (beyond the noise of their
+labels); texts that are less sure than all such ones are rejected.
 
 Cases: a null or empty text, or one without letters, has no subword, so no
 language: ``predicted`` is null, ``confidence`` 0, ``keep`` false.  Very long
@@ -38,7 +43,7 @@ from . import common, kernel
 BUCKETS = 1 << 17
 DIMS = 12
 SCALE = 1 << 20
-FLOOR, CEILING = 0.25, 0.45
+RUNS, PART = 64, 256
 
 _LETTER = kernel.WORD.copy()
 _LETTER[list(b"0123456789")] = False
@@ -107,32 +112,49 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = FLOOR
+    threshold: float = 1.0
 
-    def logits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Average share of each language for each row with the share of seen subwords last, and the number of subwords."""
+    def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number of subwords and sums of the table (share of each language, seen last) of each part of ``PART`` bytes."""
         data, offsets = _padded(column)
-        rows, classes = len(offsets) - 1, len(self.langs) + 1
-        sums, count = np.zeros((rows, classes), np.int64), np.zeros(rows, np.int64)
+        n = np.maximum(-(-np.diff(offsets) // PART), 1)
+        row = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(n) - n
+        ends = np.append(offsets[row] + (np.arange(len(row)) - first[row]) * PART, offsets[-1])
+        sums, count = np.zeros((len(row), len(self.langs) + 1), np.int64), np.zeros(len(row), np.int64)
         for h, ok, lo in subwords(data, offsets):
             at = np.flatnonzero(ok)
-            place = np.searchsorted(at, np.clip(offsets - lo, 0, len(ok)))
+            place = np.searchsorted(at, np.clip(ends - lo, 0, len(ok)))
             count += np.diff(place)
             h = h[at]
-            for k in range(classes):
+            for k in range(sums.shape[1]):
                 run = np.zeros(len(at) + 1, np.int64)
                 np.cumsum(self.table[k][h], out=run[1:])
                 sums[:, k] += np.diff(run[place])
-        return sums / SCALE / np.maximum(count, 1)[:, None] + np.append(self.bias, 0), count
+        return row, count, sums
+
+    def logits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Average share of each language for each row with the share of seen subwords last, and the number of subwords."""
+        row, count, sums = self.parts(column)
+        first = np.searchsorted(row, np.arange(len(column)))
+        if not len(row):
+            return np.zeros((0, len(self.langs) + 1)), count
+        count = np.add.reduceat(count, first)
+        return np.add.reduceat(sums, first) / SCALE / np.maximum(count, 1)[:, None] + np.append(self.bias, 0), count
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Best class of each row (-1: none) and its calibrated confidence."""
         if not self.langs or not len(column):
             return np.full(len(column), -1), np.zeros(len(column))
-        z, count = self.logits(column)
+        row, count, sums = self.parts(column)
+        first = np.searchsorted(row, np.arange(len(column)))
+        z = sums / SCALE / np.maximum(count, 1)[:, None] + np.append(self.bias, 0)
         p = _softmax(z[:, :-1] / self.temperature)
-        best = p.argmax(1)
-        return np.where(count > 0, best, -1), np.where(count > 0, p.max(1) * z[:, -1], 0.0)
+        each = np.maximum(np.add.reduceat(count, first), 1)
+        sure = np.add.reduceat(count * p.max(1) * z[:, -1], first) / each
+        best = np.add.reduceat(count[:, None] * p, first).argmax(1)
+        some = np.add.reduceat(count, first) > 0
+        return np.where(some, best, -1), np.where(some, sure, 0.0)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -141,17 +163,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _chunks(text: str, sizes: np.random.Generator) -> Iterator[str]:
-    """The whole text, then its words in runs of varied length: short texts must be learnt too."""
+    """The whole text, then all its words in runs of varied length: short texts must be learnt too.
+
+    Runs are longer in a long text, which so has at most ``RUNS`` of them and no more weight than others.
+    """
     yield text
     w = text.split()
     at = 0
     while at < len(w) and len(w) > 8:
-        n = int(sizes.choice((2, 4, 8, 16, 40, 120)))
+        n = max(int(sizes.choice((2, 4, 8, 16, 40, 120))), -(-len(w) // RUNS))
         yield " ".join(w[at : at + n])
-        at += n * 4
+        at += n
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, max_error: float = 0.01, max_lost: float = 0.001, seed: int = 7) -> Model:
+def train(rows: list[tuple[str, str]], epochs: int = 2, rate: float = 0.5, max_error: float = 0.01, seed: int = 7) -> Model:
     """Fits a model to (text, language) rows; every fifth row is held out for the calibration."""
     langs = sorted({b for a, b in rows if a and b})
     if not langs:
@@ -202,34 +227,38 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, max_e
     shares[:-1] = np.clip(np.rint(embed @ weight * SCALE), -(2**31) + 1, 2**31 - 1).T
     shares[-1, used] = SCALE
     model = Model(langs, shares, bias)
-    column = pa.array([c for c, _ in held])
-    z, count = (np.concatenate(x) for x in zip(*(model.logits(column.slice(lo, hi - lo)) for lo, hi in kernel.groups(column, 1 << 19))))
-    some = count > 0
-    truth, whole = np.array([k for _, k in held])[some], np.array(whole)[some]
-    z, seen = z[some, :-1], z[some, -1]
-    if len(z):
-        grid = np.geomspace(0.005, 20, 81)
-        model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean()))
-        p = _softmax(z / model.temperature)
-        sure = p.max(1) * seen
-        order = np.argsort(-sure, kind="stable")
-        wrong = np.cumsum(p.argmax(1)[order] != truth[order]) / np.arange(1, len(z) + 1)
-        good = np.flatnonzero(wrong <= max_error)
-        last = sure[order][good[-1]] if len(good) else 1.0
-        model.threshold = float(max(FLOOR, min(last, np.quantile(sure[whole], max_lost) if whole.any() else 1.0, CEILING)))
+    column, truth, whole = pa.array([c for c, _ in held]), np.array([k for _, k in held]), np.array(whole)
+    cuts = list(kernel.groups(column, 1 << 19))
+    z, count = (np.concatenate(x) for x in zip(*(model.logits(column.slice(lo, hi - lo)) for lo, hi in cuts)))
+    runs = (count > 0) & ~whole if (~whole & (count > 0)).any() else count > 0
+    if runs.any():
+        grid, z, label = np.geomspace(0.005, 20, 81), z[runs, :-1], truth[runs]
+        model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), label], 1e-12)).mean()))
+        best, sure = (np.concatenate(x) for x in zip(*(model.score(column.slice(lo, hi - lo)) for lo, hi in cuts)))
+        whole &= best >= 0
+        model.threshold = rejection(sure[whole], best[whole] != truth[whole], max_error)
     return model
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, max_chars: int = 16000, seed: int = 7) -> Model:
-    """Trains on at most ``sample_rows`` rows that carry a language, of a long text eight windows of ``max_chars`` in all.
+def rejection(sure: np.ndarray, wrong: np.ndarray, max_error: float) -> float:
+    """The least confidence of a held-out text above which at most ``max_error`` of them are wrong, beyond what is wrong among the surer half of them.
 
-    Those two bounds are what the driver receives, whatever the size of ``docs``.
+    The latter is noise of the labels, which no threshold takes away.
     """
-    common.need(docs, "doc_id", "text", "lang")
-    picked = common.sampled_ids(docs.where("lang is not null").select("doc_id"), "doc_id", sample_rows, seed).distinct()
-    rows = docs.select("doc_id", "lang", common.windowed_text("text", max_chars).alias("text")).where("text is not null and lang is not null")
-    got = rows.join(F.broadcast(picked), "doc_id", "left_semi").toPandas().sort_values(["doc_id", "lang", "text"])
-    got = got.drop_duplicates("doc_id").head(sample_rows)
+    if not len(sure):
+        return 1.0
+    order = np.argsort(-sure, kind="stable")
+    errors = np.cumsum(wrong[order])
+    half = (len(sure) + 1) // 2
+    good = np.flatnonzero(errors <= (max_error + errors[half - 1] / half) * np.arange(1, len(sure) + 1))
+    return float(sure[order][good[-1]]) if len(good) else 1.0
+
+
+def fit(docs: DataFrame, sample_rows: int = 2000, seed: int = 7) -> Model:
+    """Trains on at most ``sample_rows`` documents that carry a language; the driver receives their texts, whole, and of an id that is repeated one row."""
+    docs = common.own(docs, doc_id="bigint", text="string", lang="string").where("text is not null and lang is not null")
+    picked = common.sampled_ids(docs, sample_rows, seed)
+    got = common.one_a_doc(docs.join(F.broadcast(picked), "doc_id"), "lang", "text").toPandas().sort_values("doc_id")
     return train(list(zip(got["text"], got["lang"])), seed=seed)
 
 
@@ -268,10 +297,10 @@ def predict(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFr
             keep = pa.array((best >= 0) & (sure >= shared.value.threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), predicted, pa.array(np.round(sure, 6)), keep], ["doc_id", "lang", "predicted", "confidence", "keep"])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang")).mapInArrow(
-        scored, "doc_id bigint, lang string, predicted string, confidence double, keep boolean"
-    )
+    kinds = {"doc_id": "bigint", "text": "string"} | {"lang": "string" for c in docs.columns if c == "lang"}
+    rows = common.own(docs, **kinds)
+    rows = rows if "lang" in kinds else rows.withColumn("lang", F.lit(None).cast("string"))
+    return rows.mapInArrow(scored, "doc_id bigint, lang string, predicted string, confidence double, keep boolean")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
