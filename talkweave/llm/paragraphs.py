@@ -14,12 +14,20 @@ so a paragraph repeats another only if that one ends before it begins.
 Identical paragraphs share a 64-bit content hash of all words.  For the others,
 each paragraph's three-word shingles get ``bands * ROWS`` MinHashes; bands are
 tuned so that a pair at the Jaccard threshold collides with the target
-probability.  Contents that collide in any band are joined (all pairs of
-distinct contents, uncapped) and verified by exact Jaccard on the shingles;
-verified pairs are clustered by connected components.  Four rows a band keep
-pairs that share but a phrase of common words from colliding.  Keys travel in
-packed blocks, 15 bytes a key, content and number of distinct shingles, one block for
-each task and part, and a task sends a content once however often it occurs; pairs whose numbers rule the threshold out aren't joined.  Of each cluster the
+probability.  Contents that collide in any band are compared by size and by
+sketch: bit i of a sketch is the parity of the number of distinct shingles that
+hash to i, so two sketches never differ in more bits than the sets in shingles,
+and no pair that reaches the threshold is ruled out.  Paragraphs of ``WIDE``
+shingles and more have a sketch of 256 bits, shorter ones of 64.
+
+Not all pairs of a bucket are verified.  At first each content is paired with
+up to ``PARTNERS`` of those before it that sketches don't rule out; exact Jaccard
+on the shingles verifies them, and connected components join what is near.
+Pairs left over are verified in a second round, but only those whose contents
+aren't in one component yet, as only these can change the clusters.  Keys travel in
+packed blocks, content, number of distinct shingles and sketch, one block for
+each task and part, and a task sends a content once however often it occurs.
+Of each cluster the
 first occurrence (least doc_id, then the place where it ends) stays.
 
 A repeated *passage* is a run of paragraphs of a document that go, with gaps of
@@ -48,6 +56,8 @@ from . import common, kernel
 from .components import components
 
 REACH, LEAST_WORDS, SHINGLE, ROWS = 5, 6, 3, 4
+WIDE, LANES, PARTNERS = 32, 4, 3
+PART_BYTES = 24 << 20
 JACCARD, RECALL, MIN_WORDS = 0.8, 0.95, 20
 
 
@@ -113,13 +123,19 @@ def paragraph_shingles(w: kernel.Words, first: np.ndarray, size: np.ndarray) ->
     return acc[at], starts
 
 
-def distinct_shingles(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many distinct shingles each paragraph has, by the 32 bits that ``shingles_of`` compares."""
-    unit = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+def sketches(shingle: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each paragraph has, by the 32 bits that ``shingles_of`` compares, and its sketch of LANES words."""
+    units = len(starts) - 1
+    unit = np.repeat(np.arange(units, dtype=np.uint64), np.diff(starts))
     both = np.sort(unit << np.uint64(32) | shingle >> np.uint64(32))
     new = np.ones(len(both), bool)
     new[1:] = both[1:] != both[:-1]
-    return np.bincount((both[new] >> np.uint64(32)).astype(np.int64), minlength=len(starts) - 1)
+    both = both[new]
+    at, h = (both >> np.uint64(32)).astype(np.int64), kernel.mix(both & np.uint64(0xFFFFFFFF))
+    bit, lane = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(62)
+    first = np.searchsorted(at, np.arange(units))
+    out = np.stack([np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first) for k in range(LANES)], 1) if units else np.zeros((0, LANES), np.uint64)
+    return np.bincount(at, minlength=units), out
 
 
 def band_keys(shingle: np.ndarray, starts: np.ndarray, bands: int) -> list[np.ndarray]:
@@ -135,7 +151,7 @@ def band_keys(shingle: np.ndarray, starts: np.ndarray, bands: int) -> list[np.nd
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return common.own(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -158,87 +174,198 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "content bigint, doc_id bigint, at int, n int")
 
 
-def pack(key: np.ndarray, content_: np.ndarray, count: np.ndarray, parts: int) -> pa.RecordBatch:
-    """(part, block): keys, contents and counts (255: that or more) by part of the key space; 6, 8 and 1 bytes each."""
-    part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((key, part))
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    some = np.flatnonzero(np.diff(ends))
-    low = np.ascontiguousarray(key[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-    content_, count = content_[order].astype("<u8"), np.minimum(count[order], 255).astype(np.uint8)
-    blocks = [np.ascontiguousarray(low[a:b]).tobytes() + content_[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(ends[some].tolist(), ends[some + 1].tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
-
-
-def unpack(part: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (48 bits, under the part), contents and counts of a block."""
-    n = len(block) // 15
+def pack(key: np.ndarray, content_: np.ndarray, count: np.ndarray, sketch: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, wide, block): keys (6 bytes), contents (8), counts (2: that or more) and sketches (8, or 32 if wide) by part of the key space."""
+    big = count >= WIDE
+    for wide in (False, True):
+        own = big if wide else ~big
+        k, c, n = key[own], content_[own].astype("<u8"), np.minimum(count[own], 65535).astype("<u2")
+        s = sketch[own] if wide else np.bitwise_xor.reduce(sketch[own], axis=1)[:, None]
+        part = ((k >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((k, part))
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        low = np.ascontiguousarray(k[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+        c, n, s = c[order], n[order], s[order]
+        blocks = [np.ascontiguousarray(low[a:b]).tobytes() + c[a:b].tobytes() + n[a:b].tobytes() + s[a:b].tobytes() for a, b in zip(ends[some].tolist(), ends[some + 1].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), wide)), pa.array(blocks, pa.binary())], ["part", "wide", "block"])
+
+
+def unpack(part: int, wide: bool, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (48 bits, under the part), contents, counts and sketches (a narrow one is the first lane) of a block."""
+    lanes = LANES if wide else 1
+    n = len(block) // (16 + 8 * lanes)
     key = np.zeros((n, 8), np.uint8)
     key[:, :6] = np.frombuffer(block, np.uint8, n * 6).reshape(n, 6)
-    return key.reshape(-1).view("<u8") | np.uint64(part << 48), np.frombuffer(block[n * 6 : n * 14], "<u8"), np.frombuffer(block, np.uint8, n, n * 14)
+    sketch = np.zeros((n, LANES), np.uint64)
+    sketch[:, :lanes] = np.frombuffer(block[n * 16 :], "<u8").reshape(n, lanes)
+    return key.reshape(-1).view("<u8") | np.uint64(part << 48), np.frombuffer(block[n * 6 : n * 14], "<u8"), np.frombuffer(block[n * 14 : n * 16], "<u2").astype(np.int64), sketch
+
+
+class Seen:
+    """Contents that a task has sent, in sorted runs whose lengths double."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def new(self, c: np.ndarray) -> np.ndarray:
+        """Which of the distinct, sorted ``c`` weren't there yet; they are now."""
+        fresh = np.ones(len(c), bool)
+        for run in self.runs:
+            fresh &= run[np.minimum(np.searchsorted(run, c), len(run) - 1)] != c
+        if fresh.any():
+            self.runs.append(c[fresh])
+            while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+                self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
+        return fresh
+
+
+def may_be_near(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray, jaccard: float) -> np.ndarray:
+    """Which of the places (a, b) may reach the threshold, by counts and sketches; counts of 65535 and more aren't known."""
+    x, y = n[a], n[b]
+    ok = (np.minimum(x, y) >= jaccard * np.maximum(x, y)) | (x == 65535) | (y == 65535)
+    a, b, x, y = a[ok], b[ok], x[ok], y[ok]
+    apart = sketch[a] ^ sketch[b]
+    bits = np.bitwise_count(np.bitwise_xor.reduce(apart, axis=1)).astype(np.int64)
+    both = (x >= WIDE) & (y >= WIDE)
+    bits[both] = np.bitwise_count(apart[both]).sum(1, dtype=np.int64)
+    ok[ok] = (bits <= (1 - jaccard) / (1 + jaccard) * (x + y) + 1e-9) | (x == 65535) | (y == 65535)
+    return ok
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each one's run of equal keys, and where it ends."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(key)))
+    return np.repeat(size, size), np.repeat(first + size, size)
+
+
+def bucket_pairs(key: np.ndarray, n: np.ndarray, sketch: np.ndarray, jaccard: float, apart: np.ndarray | None = None, partners: int = 1 << 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (a, b) within runs of equal keys that may be near, up to ``partners`` of them for each b, and which places have more.
+
+    With ``apart`` (a label of each place) only those of different labels.
+    """
+    size, end = _runs(key)
+    left, right = [], []
+    given, more = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at, shift = np.flatnonzero(size > 1), 1
+    while len(at):
+        at = at[at + shift < end[at]]
+        a = at if apart is None else at[apart[at] != apart[at + shift]]
+        for lo in range(0, len(a), 1 << 20):
+            x = a[lo : lo + (1 << 20)]
+            x = x[may_be_near(n, sketch, x, x + shift, jaccard)]
+            room = given[x + shift] < partners
+            more[x[~room]] = more[x[~room] + shift] = True
+            x = x[room]
+            given[x + shift] += 1
+            left.append(x)
+            right.append(x + shift)
+        shift += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), more
+
+
+REST = "bucket bigint, content bigint, n bigint, " + ", ".join(f"s{k} bigint" for k in range(LANES))
 
 
 def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFrame:
-    """(a, b): distinct contents that share a band key and may reach the threshold by their sizes, each pair once."""
-    parts = min(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 15)
+    """Distinct contents that share a band key and may be near: pairs (a, b) of the first round, and the rest (bucket, content, ...) for the second."""
+    parts = parts_of(docs, bands)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, np.zeros(0, np.uint64)
+        held, size, seen = [], 0, Seen()
         for _, w, first, n, c in _each(batches):
             c, at = np.unique(c, return_index=True)
-            if len(seen):
-                new = seen[np.minimum(np.searchsorted(seen, c), len(seen) - 1)] != c
-                c, at = c[new], at[new]
+            new = seen.new(c)
+            c, at = c[new], at[new]
             if not len(c):
                 continue
-            seen = np.sort(np.concatenate([seen, c]), kind="stable")
             shingle, starts = paragraph_shingles(w, first[at], n[at])
-            found = band_keys(shingle, starts, bands)
-            held.append((np.concatenate(found), np.tile(c, bands), np.tile(distinct_shingles(shingle, starts), bands)))
+            count, sketch = sketches(shingle, starts)
+            held.append((np.concatenate(band_keys(shingle, starts, bands)), np.tile(c, bands), np.tile(count, bands), np.tile(sketch, (bands, 1))))
             size += bands * len(c)
             if size > 1_000_000:
-                yield pack(*(np.concatenate(x) for x in zip(*held)), parts)
+                yield from pack(*(np.concatenate(x) for x in zip(*held)), parts)
                 held, size = [], 0
         if held:
-            yield pack(*(np.concatenate(x) for x in zip(*held)), parts)
+            yield from pack(*(np.concatenate(x) for x in zip(*held)), parts)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [unpack(p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        held = [unpack(*x) for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns))]
+        if not held:
+            return
+        k, c, n, s = (np.concatenate(x) for x in zip(*held))
+        del held
+        c = c.view(np.int64)
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        k, c, order = k[new], c[new], order[new]
+        own = np.flatnonzero(_runs(k)[0] > 1)
+        k, c, n, s = k[own], c[own], n[order[own]], s[order[own]]
+        a, b, more = bucket_pairs(k, n, s, jaccard, partners=PARTNERS)
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])] + [none] * (3 + LANES), ["a", "b", *(x.split()[0] for x in REST.split(", "))])
+        at = np.flatnonzero(more)
+        none = pa.nulls(len(at), pa.int64())
+        rest = [pa.array(k[at].view(np.int64)), pa.array(c[at]), pa.array(n[at]), *(pa.array(np.ascontiguousarray(s[at, i]).view(np.int64)) for i in range(LANES))]
+        yield pa.RecordBatch.from_arrays([none, none, *rest], ["a", "b", *(x.split()[0] for x in REST.split(", "))])
+
+    spread = _texts(docs).mapInArrow(keys, "part int, wide boolean, block binary")
+    return spread.repartitionById(parts, F.col("part")).mapInArrow(pairs, f"a bigint, b bigint, {REST}")
+
+
+def parts_of(docs: DataFrame, bands: int) -> int:
+    """So many parts that each holds some ``PART_BYTES`` of keys: a paragraph begins at every fifth word or so, of some seven bytes."""
+    size = _texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1, least, size // 35 * bands * 26 // PART_BYTES), 1 << 15)
+
+
+def left_over(rest: DataFrame, near: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b): pairs of the ``rest`` of the buckets that may be near and aren't in one component of ``near`` (node, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last bucket, which may go on
+
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            col = [t[i].to_numpy() for i in range(t.num_columns)]
+            sketch = np.stack([x.view(np.uint64) for x in col[3 : 3 + LANES]], 1)
+            a, b, _ = bucket_pairs(col[0], col[2], sketch, jaccard, apart=col[-1])
+            x, y = col[1][a], col[1][b]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = np.asarray(batch.column(0))
+            if held and held[-1].column(0)[-1].as_py() == bucket[-1]:
+                held.append(batch)
+                continue
+            end = int(np.searchsorted(bucket, bucket[-1]))
+            if held or end:
+                yield pairs([*held, batch.slice(0, end)])
+            held = [batch.slice(end)]
         if held:
-            k, c, n = (np.concatenate(x) for x in zip(*held))
-            del held
-            order = np.lexsort((c.view(np.int64), k))
-            k, c, n = k[order], c[order].view(np.int64), n[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            yield from _pairs(k[new], c[new], n[new], jaccard)
-
-    spread = _texts(docs).mapInArrow(keys, "part int, block binary")
-    return spread.repartitionById(parts, F.col("part")).mapInArrow(pairs, "a bigint, b bigint").distinct()
-
-
-def _pairs(k: np.ndarray, c: np.ndarray, n: np.ndarray, jaccard: float) -> Iterator[pa.RecordBatch]:
-    """All pairs (a < b) of contents within each run of equal keys whose sizes allow the threshold."""
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(k)))
-    end = np.repeat(first + size, size)
-    at, shift = np.flatnonzero(np.repeat(size, size) > 1), 1
-    while len(at):
-        at = at[at + shift < end[at]]
-        x, y = n[at].astype(np.float64), n[at + shift].astype(np.float64)
-        ok = at[(np.minimum(x, y) >= jaccard * np.maximum(x, y)) | ((x == 255) | (y == 255))]
-        if len(ok):
-            yield pa.RecordBatch.from_arrays([pa.array(c[ok]), pa.array(c[ok + shift])], ["a", "b"])
-        shift += 1
+            yield pairs(held)
+
+    own = rest.join(near.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    own = own.select(*(x.split()[0] for x in REST.split(", ")), "component")
+    several = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    own = own.join(several, "bucket", "left_semi")
+    return own.repartition("bucket").sortWithinPartitions("bucket", "content").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000_000) -> DataFrame:
     """(content, shingles) of the wanted contents; these are broadcast up to ``max_broadcast``, else joined in a shuffle."""
     wanted = None
     if contents.count() <= max_broadcast:
-        got = np.sort(np.array([r[0] for r in contents.toLocalIterator()], np.int64))
+        got = np.sort(contents.toPandas()["content"].to_numpy(np.int64))
         wanted = docs.sparkSession.sparkContext.broadcast(got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +387,26 @@ def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000
     return found.groupBy("content").agg(F.array_distinct(F.min("shingles")).alias("shingles"))
 
 
-def near_pairs(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
-    """(a, b): distinct contents whose shingles have at least that Jaccard similarity."""
-    pairs = common.materialise(colliding(docs, tune(jaccard, recall), jaccard))
-    contents = common.materialise(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
-    sets = common.materialise(shingles_of(docs, contents))
+def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs whose shingles (content, shingles) have at least that Jaccard similarity."""
     both = pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
     common_ = F.size(F.array_intersect("x", "y"))
     return both.where(common_ >= F.lit(jaccard) * (F.size("x") + F.size("y") - common_)).select("a", "b")
 
 
+def near_pairs(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
+    """(a, b): near contents, enough of them that their components are those of all near contents that collide."""
+    found = common.materialise(colliding(docs, tune(jaccard, recall), jaccard))
+    pairs = common.materialise(found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = found.where("a is null").drop("a", "b")
+    contents = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).unionByName(rest.select("content"))
+    sets = common.materialise(shingles_of(docs, common.materialise(contents.distinct())))
+    first = common.materialise(verified(pairs, sets, jaccard))
+    second = common.materialise(left_over(rest, components(first), jaccard))
+    return first.unionByName(verified(second, sets, jaccard))
+
+
 def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, kept_doc_id): passages that repeat what another place has; that place stays."""
     common.need(docs, "doc_id", "text")
