@@ -19,7 +19,7 @@ choice only.
 Cases: a null source is a source of its own (never a target's); a null or
 empty text has size measure 1; equal ranks (rows that repeat a doc_id) are
 taken in the order of doc_id and then any, so the number of copies is exact.
-A null ``doc_id`` hashes as 0.  Sources that ``targets`` doesn't name get
+A null ``doc_id`` draws by its text.  Sources that ``targets`` doesn't name get
 nothing; targets that no document has count as unfilled weight and are left
 out of the normalisation.  Other columns of any name are ignored by ``copies``
 and kept by ``mix``.  Of an empty table the result is empty.
@@ -38,18 +38,19 @@ UNIT = 1 << 52
 
 
 def _uniform(key: Column, seed: int) -> Column:
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key, F.lit(0)).cast("string"))
+    text = F.concat_ws(":", F.lit(str(seed)), key)
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(UNIT))
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """Adds _s (source), _k (id), _w (size measure), _u (uniform number)."""
     chars = F.greatest(F.coalesce(F.length(F.col("_t")), F.lit(0)), F.lit(1)).cast("double")
-    return docs.withColumn("_w", F.floor(F.sqrt(chars)).cast("bigint")).withColumn("_u", _uniform(F.col("_k"), seed)).withColumn("_c", chars.cast("bigint"))
+    key = F.coalesce(F.col("_k").cast("string"), F.md5(F.coalesce("_t", F.lit(""))))
+    return docs.withColumn("_w", F.floor(F.sqrt(chars)).cast("bigint")).withColumn("_u", _uniform(key, seed)).withColumn("_c", chars.cast("bigint"))
 
 
 def quotas(rows: DataFrame, targets: dict[str, float] | None, total: float) -> DataFrame:
-    """(_s, _sum, _quota): size of each source and copies it is to have. One row a source."""
+    """(_s, _sum, _quota): size of each source and copies it is to have. One row a source; the driver receives two sums."""
     per = rows.groupBy("_s").agg(F.sum("_w").alias("_sum"), F.sum("_c").alias("_chars"), F.count("*").alias("_n"))
     if targets is None:
         share = F.round(F.sqrt(F.col("_chars").cast("double")) * 1024).cast("bigint")
@@ -57,16 +58,15 @@ def quotas(rows: DataFrame, targets: dict[str, float] | None, total: float) -> D
         share = F.lit(0).cast("bigint")
         for name, weight in targets.items():
             share = F.when(F.col("_s") == name, F.lit(round(weight * (1 << 20))).cast("bigint")).otherwise(share)
-    per = per.withColumn("_share", share)
-    all_ = Window.partitionBy(F.lit(0))
-    whole, every = F.sum("_share").over(all_), F.sum("_n").over(all_)
-    quota = F.floor(F.lit(float(total)) * every * F.col("_share") / F.greatest(whole, F.lit(1)) + 0.5).cast("bigint")
+    per = common.materialise(per.withColumn("_share", share))
+    whole, every = per.agg(F.sum("_share"), F.sum("_n")).first()
+    quota = F.floor(F.lit(float(total) * float(every or 0)) * F.col("_share").cast("double") / F.lit(float(max(whole or 0, 1))) + 0.5).cast("bigint")
     return per.withColumn("_quota", quota).select("_s", "_sum", "_quota")
 
 
-def _allocated(rows: DataFrame, targets: dict[str, float] | None, total: float, seed: int) -> DataFrame:
-    rows = sized(rows, seed)
-    per = common.materialise(quotas(rows, targets, total))
+def _allocated(rows: DataFrame, targets: dict[str, float] | None, total: float) -> DataFrame:
+    """Rows of ``sized`` with their certain copies (_sure) and, for the rest of the expectation, cell and limit."""
+    per = quotas(rows, targets, total)
     expected = F.col("_quota").cast("double") * F.col("_w").cast("double") / F.col("_sum").cast("double")
     both = rows.join(per, rows["_s"].eqNullSafe(per["_s"])).drop(per["_s"]).withColumn("_e", expected)
     both = both.withColumn("_sure", F.floor("_e").cast("bigint")).withColumn("_p", F.col("_e") - F.floor("_e"))
@@ -83,10 +83,14 @@ def _allocated(rows: DataFrame, targets: dict[str, float] | None, total: float,
 
 
 def copies(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, n_copies) of every document that gets a copy; ``total`` is the number of copies as a share of the rows."""
+    """(doc_id, source, n_copies) of every document that gets a copy; ``total`` is the number of copies as a share of the rows.
+
+    Texts are read once; what is needed of them is written to the shared folder, some 30 bytes a row.
+    """
     common.need(docs, "doc_id", "text", "source")
-    rows = docs.select(F.col("source").alias("_s"), F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
-    out = _chosen(_allocated(rows, targets, total, seed).drop("_t"))
+    plain, names = common.numbered(docs)
+    rows = plain.select(*(F.col(f"c{names.index(n)}").alias(a) for n, a in (("source", "_s"), ("doc_id", "_k"), ("text", "_t"))))
+    out = _chosen(_allocated(common.materialise(sized(rows, seed).drop("_t")), targets, total))
     return out.select(F.col("_k").alias("doc_id"), F.col("_s").alias("source"), F.col("_copies").alias("n_copies"))
 
 
@@ -104,7 +108,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, total: float =
     plain, names = common.numbered(docs)
     at = {n: F.col(f"c{names.index(n)}") for n in ("doc_id", "text", "source")}
     rows = plain.withColumns({"_s": at["source"], "_k": at["doc_id"], "_t": at["text"]})
-    out = _chosen(_allocated(rows, targets, total, seed).drop("_t"))
+    out = _chosen(_allocated(sized(rows, seed).drop("_t"), targets, total))
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
@@ -115,7 +119,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""WITH sized AS (SELECT source, doc_id, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS c,
     CAST(floor(sqrt(greatest(coalesce(length(text), 0), 1)::DOUBLE)) AS BIGINT) AS w,
-    (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id, 0)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {float(UNIT)}::DOUBLE AS u FROM documents),
+    (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {float(UNIT)}::DOUBLE AS u FROM documents),
 per AS (SELECT source, sum(w)::BIGINT AS total, count(*) AS n, round(sqrt(sum(c)::DOUBLE) * 1024)::BIGINT AS share FROM sized GROUP BY source),
 quota AS (SELECT source, total, floor(1.0::DOUBLE * (SELECT sum(n) FROM per)::DOUBLE * share::DOUBLE / (SELECT sum(share) FROM per)::DOUBLE + 0.5)::BIGINT AS quota FROM per),
 expected AS (SELECT s.*, quota, quota::DOUBLE * w::DOUBLE / total::DOUBLE AS e FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source),
