@@ -3,9 +3,9 @@
 Texts arrive as Arrow string columns.  All work is done on the UTF-8 bytes of
 a whole group of texts at once, so the cost per word is that of a few numpy
 passes.  A *word* is a maximal run of ASCII letters, digits and bytes >= 0x80
-of the lower-cased text; everything else separates.  A run longer than
-``PIECE`` bytes is cut there, which keeps the memory of a task bounded however
-long a text is.
+of the lower-cased text; everything else separates.  Bytes are worked on in
+pieces of ``PIECE``, which keeps the memory of a task bounded however long a
+text is; a word that spans several pieces is one word.
 
 Nulls and empty texts have no words.
 """
@@ -65,7 +65,7 @@ def hash_word(word: bytes) -> int:
 
 
 def split_words(text: str | None) -> list[bytes]:
-    """Words of one text; the scalar form of ``words`` (short of the cut at PIECE)."""
+    """Words of one text; the scalar form of ``words``."""
     out, at = [], -1
     data = (text or "").lower().encode("utf-8", "surrogatepass")
     for i, b in enumerate(data):
@@ -149,6 +149,7 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     first[offsets] = True
     inside = WORD[data]
     found: list[tuple[np.ndarray, ...]] = []
+    open_ = (0, 0, 0)  # of a word that goes on in the next piece: sum so far, bytes so far, first byte
     for lo, hi in _pieces(data, inside):
         w, n = inside[lo:hi], hi - lo
         begin = w.copy()
@@ -158,8 +159,15 @@ def words(column: pa.Array, lower: bool = True) -> Words:
         start, last = np.flatnonzero(begin), np.flatnonzero(finish)
         part = (data[lo:hi].astype(np.uint64) + np.uint64(1)) * _power("up", MULT, n)[:n]
         total = np.cumsum(part, dtype=np.uint64)
-        h = mix((total[last] - total[start] + part[start]) * _power("down", _INV, n)[start])
-        found.append((h, start + lo, last + (lo + 1)))
+        sums = (total[last] - total[start] + part[start]) * _power("down", _INV, n)[start]
+        start, last = start + lo, last + (lo + 1)
+        if open_[1]:
+            sums[0] = np.uint64((open_[0] + int(sums[0]) * pow(MULT, open_[1], 1 << 64)) & _MASK)
+            start[0] = open_[2]
+        goes_on = hi < len(data) and inside[hi - 1] and inside[hi] and not first[hi]
+        open_ = (int(sums[-1]), int(last[-1] - start[-1]), int(start[-1])) if goes_on else (0, 0, 0)
+        keep = len(sums) - goes_on
+        found.append((mix(sums[:keep]), start[:keep], last[:keep]))
     if not found:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, none, data, offsets)
