@@ -227,7 +227,7 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, tokens, exact): the tokens of every document, and whether decoding them gives the text again."""
-    common.need(docs, "doc_id", "text")
+    rows = common.own(docs, doc_id="bigint", text="string")
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +245,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 tokens = pa.ListArray.from_arrays(offsets, pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, mask=gone), tokens, pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "tokens", "exact"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return own.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>, exact boolean")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>, exact boolean")
 
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -259,7 +258,7 @@ def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [None if t is None else encoder.decode(np.array(t, np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "tokens").mapInArrow(run, "doc_id bigint, text string")
+    return common.own(coded, doc_id="bigint", tokens="array<int>").mapInArrow(run, "doc_id bigint, text string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,6 @@ SCHEMA = "media_id bigint, serial bigint, codec string, n_pages int, n_bad_pages
 
 def streams_of(media: DataFrame) -> DataFrame:
     """One row a logical stream of each container (media_id, content); n_packets and the payload leave out the first packet."""
-    common.need(media, "media_id", "content")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in SCHEMA.split(", ")])
@@ -221,8 +220,7 @@ def streams_of(media: DataFrame) -> DataFrame:
                     rows.append((key, s.serial, s.codec, s.pages, s.bad, len(body), s.lost, sum(map(len, body)), s.seconds(s.granule), md5.hexdigest(), s.ended, skipped))
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=schema)
 
-    own = media.select(F.col("media_id").cast("bigint").alias("media_id"), F.col("content").cast("binary").alias("content"))
-    return own.mapInArrow(run, SCHEMA)
+    return common.own(media, media_id="bigint", content="binary").mapInArrow(run, SCHEMA)
 
 
 RATE, FRAME = 16000, 960
@@ -244,8 +242,7 @@ def recorded(docs: DataFrame) -> DataFrame:
                 out.append(multiplex([(1, [(0, b"PCMraw\0\0" + struct.pack("<I", RATE)), *frames]), (2, [(0, b"source\0\0"), (0, (source or "").encode())])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["media_id", "content"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    return own.mapInArrow(run, "media_id bigint, content binary")
+    return common.own(docs, doc_id="bigint", text="string", source="string").mapInArrow(run, "media_id bigint, content binary")
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

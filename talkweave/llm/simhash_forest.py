@@ -82,7 +82,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 lanes = [pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in range(LANES)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *lanes], ["doc_id", "n_words", *(f"s{k}" for k in range(LANES))])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    own = common.own(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
     return own.mapInArrow(sign, "doc_id bigint, n_words bigint, " + ", ".join(f"s{k} bigint" for k in range(LANES)))
 
 
@@ -208,7 +208,6 @@ def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """(doc_id, kept_id) for every document that is a near or exact copy of another: it goes and ``kept_id`` stays."""
-    common.need(docs, "doc_id", "text")
     sig = common.materialise(signed(docs))
     lanes = [f"s{k}" for k in range(LANES)]
     points = sig.groupBy("n_words", *lanes).agg(F.min("doc_id").alias("doc_id"))

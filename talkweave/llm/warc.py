@@ -199,13 +199,11 @@ def records_of(contents: DataFrame) -> DataFrame:
                 if content.is_valid:
                     yield from _batches(read_records(pa.BufferReader(content.as_buffer())), file)
 
-    return contents.select(F.col("file").cast("string").alias("file"), F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
+    return common.own(contents, file="string", content="binary").mapInArrow(run, SCHEMA)
 
 
 def packed(pages: DataFrame, records: int = 200) -> DataFrame:
     """(file, content): pages written as WARC files of ``records`` records, one after the other within each partition."""
-    common.need(pages, "page_id", "url", "html")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, records):
@@ -214,8 +212,7 @@ def packed(pages: DataFrame, records: int = 200) -> DataFrame:
                 name = f"pages-{rows['page_id'][0]}.warc.gz"
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["file", "content"])
 
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(run, "file string, content binary")
+    return common.own(pages, page_id="bigint", url="string", html="string").mapInArrow(run, "file string, content binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
