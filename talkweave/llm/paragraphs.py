@@ -18,7 +18,7 @@ probability.  Contents that collide in any band are compared by size and by
 sketch: bit i of a sketch is the parity of the number of distinct shingles that
 hash to i, so two sketches never differ in more bits than the sets in shingles,
 and no pair that reaches the threshold is ruled out.  Paragraphs of ``WIDE``
-shingles and more have a sketch of 256 bits, shorter ones of 64.
+shingles and more have a sketch of 256 bits, shorter ones of 32.
 
 Not all pairs of a bucket are verified.  At first each content is paired with
 up to ``PARTNERS`` of those before it that sketches don't rule out; exact Jaccard
@@ -49,6 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,13 +140,12 @@ def sketches(shingle: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def band_keys(shingle: np.ndarray, starts: np.ndarray, bands: int) -> list[np.ndarray]:
-    """The key of each paragraph in each band."""
-    out = []
+    """The key of each paragraph in each band; a MinHash is the least product with an odd number, as shingles are mixed already."""
+    out, seeds = [], kernel.mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for b in range(bands):
         key = np.full(len(starts) - 1, b + 1, np.uint64)
-        for r in range(ROWS):
-            seed = np.uint64((b * ROWS + r + 1) * kernel.MULT & 0xFFFFFFFFFFFFFFFF)
-            key = kernel.mix(key * np.uint64(3) + np.minimum.reduceat(kernel.mix(shingle ^ seed), starts[:-1]))
+        for seed in seeds[b * ROWS : (b + 1) * ROWS]:
+            key = kernel.mix(key * np.uint64(3) + np.minimum.reduceat(shingle * seed ^ seed, starts[:-1]))
         out.append(key)
     return out
 
@@ -163,43 +163,66 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 yield np.asarray(batch.column(0).slice(lo, hi - lo)), w, first, size, content(w, first, size)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(content, doc_id, at, n): every paragraph, with the place of its first word and its length."""
+def paragraphs(docs: DataFrame, some: Broadcast | None = None) -> DataFrame:
+    """(content, doc_id, at, n): every paragraph (of ``some`` contents), with the place of its first word and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, w, first, size, c in _each(batches):
+            if some is not None:
+                ok = _among(c.view(np.int64), some.value)
+                first, size, c = first[ok], size[ok], c[ok]
             row = w.row[first]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(ids[row]), pa.array((first - w.bounds()[row]).astype(np.int32)), pa.array(size.astype(np.int32))], ["content", "doc_id", "at", "n"])
 
     return _texts(docs).mapInArrow(run, "content bigint, doc_id bigint, at int, n int")
 
 
+def _low(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
 def pack(key: np.ndarray, content_: np.ndarray, count: np.ndarray, sketch: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, wide, block): keys (6 bytes), contents (8), counts (2: that or more) and sketches (8, or 32 if wide) by part of the key space."""
+    """(part, wide, block): keys (of each content in each band), contents, counts and sketches by part of the key space.
+
+    A record has 5 bytes of the key, 8 of the content, and 1 + 4 of count and sketch, or 2 + 32 if wide.
+    """
     big = count >= WIDE
     for wide in (False, True):
-        own = big if wide else ~big
-        k, c, n = key[own], content_[own].astype("<u8"), np.minimum(count[own], 65535).astype("<u2")
-        s = sketch[own] if wide else np.bitwise_xor.reduce(sketch[own], axis=1)[:, None]
-        part = ((k >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((k, part))
+        own = np.flatnonzero(big if wide else ~big)
+        k = key[:, own].ravel()
+        part = ((k >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(ends))
-        low = np.ascontiguousarray(k[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-        c, n, s = c[order], n[order], s[order]
-        blocks = [np.ascontiguousarray(low[a:b]).tobytes() + c[a:b].tobytes() + n[a:b].tobytes() + s[a:b].tobytes() for a, b in zip(ends[some].tolist(), ends[some + 1].tolist())]
+        blocks = []
+        for a, b in zip(ends[some].tolist(), ends[some + 1].tolist()):
+            at = order[a:b]
+            unit = own[at % max(len(own), 1)]
+            n, s = np.minimum(count[unit], 65535), sketch[unit]
+            blocks.append(_low(k[at], 5) + _low(content_[unit], 8) + _low(n, 2 if wide else 1) + (s.astype("<u8").tobytes() if wide else _low(narrow(s), 4)))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), wide)), pa.array(blocks, pa.binary())], ["part", "wide", "block"])
 
 
+def narrow(sketch: np.ndarray) -> np.ndarray:
+    """Sketches of 32 bits: parities again."""
+    one = np.bitwise_xor.reduce(sketch, axis=1)
+    return (one ^ one >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
+
+
 def unpack(part: int, wide: bool, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (48 bits, under the part), contents, counts and sketches (a narrow one is the first lane) of a block."""
-    lanes = LANES if wide else 1
-    n = len(block) // (16 + 8 * lanes)
-    key = np.zeros((n, 8), np.uint8)
-    key[:, :6] = np.frombuffer(block, np.uint8, n * 6).reshape(n, 6)
+    """Keys (40 bits, under the part), contents, counts and sketches (a narrow one is in the first lane) of a block."""
+    sizes, at = (5, 8, 2, 8 * LANES) if wide else (5, 8, 1, 4), 0
+    n, out = len(block) // sum(sizes), []
+    for size in sizes:
+        own = np.frombuffer(block, np.uint8, n * size, at).reshape(n, size)
+        wider = np.zeros((n, max(8, size)), np.uint8)
+        wider[:, :size] = own
+        out.append(wider.view("<u8"))
+        at += n * size
     sketch = np.zeros((n, LANES), np.uint64)
-    sketch[:, :lanes] = np.frombuffer(block[n * 16 :], "<u8").reshape(n, lanes)
-    return key.reshape(-1).view("<u8") | np.uint64(part << 48), np.frombuffer(block[n * 6 : n * 14], "<u8"), np.frombuffer(block[n * 14 : n * 16], "<u2").astype(np.int64), sketch
+    sketch[:, : out[3].shape[1]] = out[3]
+    return out[0][:, 0] | np.uint64(part << 40), out[1][:, 0], out[2][:, 0].astype(np.int64), sketch
 
 
 class Seen:
@@ -226,9 +249,10 @@ def may_be_near(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray,
     ok = (np.minimum(x, y) >= jaccard * np.maximum(x, y)) | (x == 65535) | (y == 65535)
     a, b, x, y = a[ok], b[ok], x[ok], y[ok]
     apart = sketch[a] ^ sketch[b]
-    bits = np.bitwise_count(np.bitwise_xor.reduce(apart, axis=1)).astype(np.int64)
-    both = (x >= WIDE) & (y >= WIDE)
-    bits[both] = np.bitwise_count(apart[both]).sum(1, dtype=np.int64)
+    bits = np.bitwise_count(apart).sum(1, dtype=np.int64)  # of two narrow or two wide ones
+    mixed = (x >= WIDE) != (y >= WIDE)
+    one, two = ((narrow(sketch[i[mixed]]), sketch[i[mixed], 0], z[mixed] >= WIDE) for i, z in ((a, x), (b, y)))
+    bits[mixed] = np.bitwise_count(np.where(one[2], one[0], one[1]) ^ np.where(two[2], two[0], two[1]))
     ok[ok] = (bits <= (1 - jaccard) / (1 + jaccard) * (x + y) + 1e-9) | (x == 65535) | (y == 65535)
     return ok
 
@@ -277,6 +301,11 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, Seen()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, c, n, sketch = zip(*held)
+            return pack(np.concatenate(key, axis=1), np.concatenate(c), np.concatenate(n), np.concatenate(sketch), parts)
+
         for _, w, first, n, c in _each(batches):
             c, at = np.unique(c, return_index=True)
             new = seen.new(c)
@@ -284,14 +313,13 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
             if not len(c):
                 continue
             shingle, starts = paragraph_shingles(w, first[at], n[at])
-            count, sketch = sketches(shingle, starts)
-            held.append((np.concatenate(band_keys(shingle, starts, bands)), np.tile(c, bands), np.tile(count, bands), np.tile(sketch, (bands, 1))))
-            size += bands * len(c)
-            if size > 1_000_000:
-                yield from pack(*(np.concatenate(x) for x in zip(*held)), parts)
+            held.append((np.stack(band_keys(shingle, starts, bands)), c, *sketches(shingle, starts)))
+            size += len(c)
+            if size > 100_000:
+                yield from sent()
                 held, size = [], 0
         if held:
-            yield from pack(*(np.concatenate(x) for x in zip(*held)), parts)
+            yield from sent()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpack(*x) for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns))]
@@ -320,10 +348,10 @@ def colliding(docs: DataFrame, bands: int, jaccard: float = JACCARD) -> DataFram
 
 
 def parts_of(docs: DataFrame, bands: int) -> int:
-    """So many parts that each holds some ``PART_BYTES`` of keys: a paragraph begins at every fifth word or so, of some seven bytes."""
+    """So many parts that each holds some ``PART_BYTES`` of keys: there is one for some 70 bytes of text."""
     size = _texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(1, least, size // 35 * bands * 26 // PART_BYTES), 1 << 15)
+    return min(max(1, least, size // 70 * bands * 20 // PART_BYTES), 1 << 15)
 
 
 def left_over(rest: DataFrame, near: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -361,20 +389,28 @@ def left_over(rest: DataFrame, near: DataFrame, jaccard: float = JACCARD) -> Dat
     return own.repartition("bucket").sortWithinPartitions("bucket", "content").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def wanted(contents: DataFrame, most: int) -> Broadcast | None:
+    """The contents in order, broadcast if they are no more than ``most`` (8 bytes each)."""
+    if contents.count() > most:
+        return None
+    got = np.sort(contents.toPandas()["content"].to_numpy(np.int64))
+    return contents.sparkSession.sparkContext.broadcast(got)
+
+
+def _among(c: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, c), len(known) - 1)] == c if len(known) else np.zeros(len(c), bool)
+
+
 def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000_000) -> DataFrame:
     """(content, shingles) of the wanted contents; these are broadcast up to ``max_broadcast``, else joined in a shuffle."""
-    wanted = None
-    if contents.count() <= max_broadcast:
-        got = np.sort(contents.toPandas()["content"].to_numpy(np.int64))
-        wanted = docs.sparkSession.sparkContext.broadcast(got)
+    some = wanted(contents, max_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, w, first, size, c in _each(batches):
-            c = c.view(np.int64)
-            if wanted is not None:
-                ok = np.zeros(len(c), bool)
-                if len(wanted.value):
-                    ok = wanted.value[np.minimum(np.searchsorted(wanted.value, c), len(wanted.value) - 1)] == c
+            c, at = np.unique(c.view(np.int64), return_index=True)
+            first, size = first[at], size[at]
+            if some is not None:
+                ok = _among(c, some.value)
                 first, size, c = first[ok], size[ok], c[ok]
             if len(first):
                 h, starts = paragraph_shingles(w, first, size)
@@ -382,7 +418,7 @@ def shingles_of(docs: DataFrame, contents: DataFrame, max_broadcast: int = 4_000
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h))], ["content", "shingles"])
 
     found = _texts(docs).mapInArrow(run, "content bigint, shingles array<int>")
-    if wanted is None:
+    if some is None:
         found = found.join(contents, "content", "left_semi")
     return found.groupBy("content").agg(F.array_distinct(F.min("shingles")).alias("shingles"))
 
@@ -407,15 +443,16 @@ def near_pairs(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
     return first.unionByName(verified(second, sets, jaccard))
 
 
-def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, jaccard: float = JACCARD, min_words: int = MIN_WORDS, max_broadcast: int = 4_000_000) -> DataFrame:
     """(doc_id, first_word, n_words, kept_doc_id): passages that repeat what another place has; that place stays."""
     common.need(docs, "doc_id", "text")
     cluster = common.materialise(components(near_pairs(docs, jaccard)).select(F.col("node").alias("content"), "component"))
-    units, end = paragraphs(docs), F.col("at") + F.col("n")
-    per = units.groupBy("content").agg(F.min(F.struct("doc_id", end.alias("end"))).alias("first"), F.count("*").alias("times")).join(cluster, "content", "left")
+    end = F.col("at") + F.col("n")
+    per = paragraphs(docs).groupBy("content").agg(F.min(F.struct("doc_id", end.alias("end"))).alias("first"), F.count("*").alias("times")).join(cluster, "content", "left")
     per = per.where("times > 1 or component is not null").select("content", F.coalesce("component", "content").alias("cluster"), "first")
     kept = common.materialise(per)
-    kept = kept.join(kept.groupBy("cluster").agg(F.min("first").alias("kept")), "cluster").select("content", "kept")
+    kept = common.materialise(kept.join(kept.groupBy("cluster").agg(F.min("first").alias("kept")), "cluster").select("content", "kept"))
+    units = paragraphs(docs, wanted(kept.select("content"), max_broadcast))  # with more, the join below shuffles all of them
     gone = units.join(kept, "content").where("kept.doc_id < doc_id or kept.doc_id = doc_id and kept.end <= at")
     gone = gone.groupBy("doc_id", "at").agg(F.max("n").alias("n"), F.min("kept.doc_id").alias("kept_doc_id"))
     by = Window.partitionBy("doc_id").orderBy("at")
