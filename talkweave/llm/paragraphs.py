@@ -393,7 +393,7 @@ def wanted(contents: DataFrame, most: int) -> Broadcast | None:
     """The contents in order, broadcast if they are no more than ``most`` (8 bytes each)."""
     if contents.count() > most:
         return None
-    got = np.sort(contents.toPandas()["content"].to_numpy(np.int64))
+    got = np.sort(contents.select("content").toArrow()["content"].to_numpy())
     return contents.sparkSession.sparkContext.broadcast(got)
 
 
