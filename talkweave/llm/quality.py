@@ -193,11 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, seed: int =
                 ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(4), pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x))], ["doc_id", "good", "f", "x"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, good double, f array<int>, x array<double>").toPandas().sort_values("doc_id")
-    if not len(got):
+    got = rows.mapInArrow(run, "doc_id bigint, good double, f array<int>, x array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
         return None
-    row = np.repeat(np.arange(len(got)), got["f"].map(len))
-    return train(row, np.concatenate(got["f"].tolist()).astype(np.int64), np.concatenate(got["x"].tolist()), got["good"].to_numpy(), seed=seed)
+    row = np.repeat(np.arange(got.num_rows), pc.list_value_length(got["f"]).to_numpy())
+    return train(row, pc.list_flatten(got["f"]).to_numpy().astype(np.int64), pc.list_flatten(got["x"]).to_numpy(), got["good"].to_numpy(), seed=seed)
 
 
 def classify(docs: DataFrame, machine: Machine | None) -> DataFrame:
