@@ -115,3 +115,52 @@ def test_codecs():
     assert ogg.codec_of(b"OpusHead\x01\x02" + (312).to_bytes(2, "little") + b"\0" * 7) == ("opus", 48000, 312)
     assert ogg.codec_of(b"\x01vorbis" + b"\0\0\0\0\x02" + (44100).to_bytes(4, "little") + b"\0" * 14) == ("vorbis", 44100, 0)
     assert ogg.codec_of(b"?") == ("unknown", 0, 0)
+
+
+def test_packet_positions():
+    """Positions that only the page's end tells are derived backwards from the packets' lengths."""
+    sizes = [3, 700, 20, 255, 0, 9, 4000]
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    (s,), _ = ogg.demultiplex(ogg.multiplex([(4, [(0, b"PCMraw\0\0" + (100).to_bytes(4, "little")), *((e, bytes(n)) for e, n in zip(ends, sizes))])], 255))
+    assert [g for g, _ in s.packets[1:]] == ends and [s.seconds(g) for g in ends] == [e / 100 for e in ends]
+    head = b"OpusHead\x01\x02" + (312).to_bytes(2, "little") + b"\0" * 7
+    frames = [bytes([config << 3 | code, count]) for config, code, count in ((31, 0, 0), (3, 1, 0), (12, 3, 5), (16, 2, 0))]  # 20 ms, two of 60, five of 10, two of 2.5
+    lengths = [960, 5760, 2400, 240]
+    (s,), _ = ogg.demultiplex(ogg.multiplex([(1, [(0, head), *((1000 + sum(lengths[: i + 1]), f) for i, f in enumerate(frames))])], 255))
+    assert [g for g, _ in s.packets[1:]] == [1000 + sum(lengths[: i + 1]) for i in range(4)]
+    (s,), _ = ogg.demultiplex(ogg.multiplex([(1, [(0, b"?"), (5, b"a"), (9, b"b")])], 255))
+    assert [g for g, _ in s.packets] == [0, -1, 9]
+
+
+def test_chained_streams():
+    """A serial number that begins again is another stream."""
+    one, two = streams(random.Random(1), 1), streams(random.Random(2), 1)
+    found, skipped = ogg.demultiplex(ogg.multiplex(one) + ogg.multiplex(two))
+    assert skipped == 0 and [(s.serial, s.link, s.lost) for s in found] == [(7, 0, 0), (7, 1, 0)]
+    assert [[p for _, p in s.packets] for s in found] == [[p for _, p in x[0][1]] for x in (one, two)]
+
+
+def test_lost_packets():
+    """Each break across which a packet goes on counts once, whatever was damaged before."""
+    packets = [(0, b"PCMraw\0\0" + (100).to_bytes(4, "little")), *((i, bytes([i]) * 700) for i in range(1, 7))]
+    data = ogg.multiplex([(1, packets)], 2)  # a packet of 700 bytes has three lacing values: pages end within packets
+    cuts = [i for i in range(len(data)) if data[i : i + 4] == ogg.CAPTURE] + [len(data)]
+    pages = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    for gone in ([2], [3], [2, 3], [2, 6], [4, 7], [1, 3, 5]):
+        hurt = b"".join(p if i not in gone else p[:-1] + bytes([p[-1] ^ 1]) for i, p in enumerate(pages))
+        for kept in (hurt, b"".join(p for i, p in enumerate(pages) if i not in gone)):
+            (s,), _ = ogg.demultiplex(kept)
+            ends = [[i for i in range(1, len(pages)) if 2 * (i - 1) <= 3 * k + 2 and 2 * i > 3 * k] for k in range(6)]  # pages of each packet
+            runs = [g for g in gone if g - 1 not in gone]
+            across = sum(any(g in e and (set(e) - set(gone)) for g in range(r, max(x for x in gone if set(range(r, x + 1)) <= set(gone)) + 1) for e in ends) for r in runs)
+            assert [p for _, p in s.packets[1:]] == [p for (_, p), e in zip(packets[1:], ends) if not set(e) & set(gone)]
+            assert s.lost == across
+
+
+def test_packets_of(spark):
+    docs = spark.createDataFrame([(1, "x" * 2000, "here"), (2, None, None)], "doc_id bigint, text string, source string")
+    got = sorted(tuple(r) for r in ogg.packets_of(ogg.recorded(docs)).select("media_id", "serial", "packet", "granule", "seconds", F.length("content")).collect())
+    assert got == [
+        (1, 1, 0, 0, 0.0, 12), (1, 1, 1, 960, 0.06, 960), (1, 1, 2, 1920, 0.12, 960), (1, 1, 3, 2000, 0.125, 80), (1, 2, 0, 0, None, 8), (1, 2, 1, 0, None, 4),
+        (2, 1, 0, 0, 0.0, 12), (2, 2, 0, 0, None, 8), (2, 2, 1, 0, None, 0),
+    ]
