@@ -318,14 +318,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50000, calibratio
     rows = sketches(docs, ids).join(F.broadcast(known), "doc_id").withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
     got = sorted(rows.collect(), key=lambda r: (r.place, r.doc_id))
     toxic = np.array([r.toxic for r in got], np.int64)
-    ok = voters(toxic, [r.bands for r in got])
-    apart = min(calibration_rows, len(got) // 5)
-    fit_, held = np.flatnonzero(ok[apart:]) + apart, np.flatnonzero(ok[:apart] & (toxic[:apart] == 0))
+    voting = np.flatnonzero(voters(toxic, [r.bands for r in got]))
+    apart = min(calibration_rows, len(voting) // 5)
+    held, fit_ = voting[:apart][toxic[voting[:apart]] == 0], voting[apart:]
     sides = int(toxic[fit_].sum()), int((1 - toxic[fit_]).sum())
     if not all(sides):
         return none
-    voting = lambda at: spark.createDataFrame([(got[i].doc_id, got[i].text, got[i].toxic) for i in at.tolist()], "doc_id bigint, h bigint, toxic int")
-    words_ = significant(common.materialise(votes(docs, voting(fit_))))
+    rows_at = lambda at: spark.createDataFrame([(got[i].doc_id, got[i].text, got[i].toxic) for i in at.tolist()], "doc_id bigint, h bigint, toxic int")
+    words_ = significant(common.materialise(votes(docs, rows_at(fit_))))
     if not words_:
         return none
     vocabulary = np.array([r.word for r in words_], np.int64).view(np.uint64)
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50000, calibratio
     if not len(words):
         return none
     lexicon = Lexicon(words, scores)
-    clean = docs.where("text is not null").join(F.broadcast(voting(held)), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
+    clean = docs.where("text is not null").join(F.broadcast(rows_at(held)), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
     return calibrate(lexicon, *clean_scores(clean, lexicon))
 
 
