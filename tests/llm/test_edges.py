@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.llm import bloom_dedup, bpe, common, langid, mixing, ogg, paragraphs, quality, simhash_forest, toxicity, warc
+from talkweave.llm import bloom_dedup, bpe, common, kernel, langid, mixing, ogg, paragraphs, quality, simhash_forest, toxicity, warc
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(120_000))
 TEXT = "the quick brown fox jumps over the lazy dog and then it sleeps near the warm fire until the morning comes, when a cold wind from the north wakes every animal of the old farm behind the hill; nobody there remembers such a winter"
@@ -13,7 +14,7 @@ ROWS = [
     (1, TEXT, "en", "a"), (1, TEXT, "en", "a"), (2, TEXT, "en", None), (None, TEXT, None, "b"), (3, None, "en", "a"), (4, "", "en", "a"),
     (5, "", None, "b"), (6, LONG, "en", "a"), (7, "你好 \U0001f600 naïve\u0000café\n\n\t", "fr", "c"), (None, None, None, None), (8, "?!... --", "en", "a"),
 ]
-CLASH = ["c0", "c1", "h", "m", "s", "_s", "_k", "_t", "_e", "_p", "_q", "_cell", "part", "path", "b", "node", "component", "keep", "predicted", "r", "n_words", "tokens", "_copies", "_i", "_limit", "_take", "_n"]
+CLASH = ["content", "place", "toxic", "c0", "c1", "h", "m", "s", "_s", "_k", "_t", "_e", "_p", "_q", "_cell", "part", "path", "b", "node", "component", "keep", "predicted", "r", "n_words", "tokens", "_copies", "_i", "_limit", "_take", "_n"]
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,29 @@ def odd(spark):
     return df.withColumns({c: F.lit(c) for c in CLASH}).withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
 
 
+@pytest.fixture(scope="module")
+def cased(odd):
+    """With columns whose names differ from the needed ones by case alone."""
+    return odd.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("Text", "DOC_ID", "Lang", "SOURCE", "Media_id"))))
+
+
+def test_names_that_differ_by_case(spark, odd, cased):
+    """Results are those without the clashing columns."""
+    key = lambda df: sorted(map(repr, df.collect()))
+    labels = known(spark).select("*", F.lit("x").alias("Quality"), F.lit("x").alias("TOXIC"), F.lit(3).alias("Doc_id"))
+    machine, model = quality.fit(odd, known(spark)), langid.fit(odd)
+    assert np.array_equal(quality.fit(cased, labels).weight, machine.weight) and np.array_equal(langid.fit(cased).table, model.table)
+    assert len(toxicity.fit(cased, labels).words) == 0
+    for f in (
+        lambda d: quality.classify(d, machine), bpe.encode, mixing.copies, lambda d: langid.predict(d, model), simhash_forest.near_groups, paragraphs.repeated_passages,
+        lambda d: toxicity.toxic_documents(d, toxicity.Lexicon(np.array([kernel.hash_word(b"fox")], np.uint64), np.array([9.0]), 1.4, 0.001)), lambda d: ogg.streams_of(ogg.recorded(d)),
+    ):
+        assert key(f(cased)) == key(f(odd))
+    for f in (bloom_dedup.exact_dedup, mixing.mix, simhash_forest.near_dedup, lambda d: langid.predict(d, model, keep_columns=True)):
+        got = f(cased)
+        assert got.columns == cased.columns and sorted(str(r[0]) for r in got.collect()) == sorted(str(r[0]) for r in f(odd).collect())
+
+
 @pytest.fixture(scope="module")
 def nothing(odd):
     return odd.where("false")
@@ -50,7 +74,7 @@ def test_bpe(odd, nothing):
     assert bpe.encode(nothing).count() == 0 and bpe.encode(odd).count() == len(ROWS)
 
 
-@pytest.mark.parametrize("room", [64 << 20, 0])
+@pytest.mark.parametrize("room", [64 << 20, 8])
 def test_exact_dedup(odd, nothing, room):
     got = bloom_dedup.exact_dedup(odd, max_filter_bytes=room)
     assert got.columns == odd.columns and got.dtypes == odd.dtypes
@@ -96,11 +120,39 @@ def test_language(odd, nothing):
 
 
 def test_toxicity(spark, odd, nothing):
-    assert toxicity.toxic_documents(odd, toxicity.fit(odd, known(spark))).count() == 0
+    assert toxicity.toxic_documents(odd, toxicity.fit(odd, known(spark))).count() == 0  # too few labels for any word
     assert toxicity.toxic_documents(odd, toxicity.fit(odd, known(spark, []))).count() == 0
     assert toxicity.toxic_documents(nothing, toxicity.fit(nothing, known(spark))).count() == 0
 
 
+def test_toxicity_with_a_lexicon(spark, odd, nothing):
+    """Nulls, empty and long texts, repeats and clashing columns with words that score."""
+    words = [f"calm{i % 83} sea{i * 7 % 91} hill{i * 13 % 67} {'vile wretch ' if i % 8 == 0 else ''}tree{i} wind{i * 3 % 71}" for i in range(800)]
+    rows = [(1000 + i, t, "en", "a") for i, t in enumerate(words)] + [(1000, words[0], "en", "a")] * 50  # a hot id
+    rows += [(5001, "vile wretch", "en", "a"), (5001, "vile wretch", "en", "a"), (None, "a vile wretch", None, None), (5002, LONG + " vile wretch" * 4, "en", "a"), (5003, LONG, None, "a"), (5004, "", "en", "a"), (5005, None, "en", "a")]
+    docs = odd.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({c: F.lit(c) for c in CLASH}).withColumn("tags", F.create_map(F.lit("k"), F.lit(1))))
+    labels = [(1000 + i, 1, int(i % 8 == 0)) for i in range(800)] + [(1000, 1, 0), (1008, None, None), (None, 1, 1), (77777, 1, 1)]
+    given = known(spark, labels).withColumn("Toxic_", F.lit(1)).withColumn("TEXT", F.lit("x"))
+    lexicon = toxicity.fit(docs, given)
+    assert len(lexicon.words) == 2
+    got = toxicity.toxic_documents(docs, lexicon).collect()
+    assert {r.doc_id for r in got} == {1000 + i for i in range(0, 800, 8)} | {5001, 5002, None}
+    assert len([r for r in got if r.doc_id == 5001]) == 2 and len([r for r in got if r.doc_id == 1000]) == 51
+    (long,) = [r for r in got if r.doc_id == 5002]
+    assert [(p.first_word, p.last_word) for p in long.passages] == [(120_000, 120_007)] and long.n_words == 120_008
+    assert toxicity.toxic_documents(nothing, lexicon).count() == 0
+
+
+def test_samples_are_of_ids(spark):
+    """An id that a third of all rows have is one of the sample and one row to the driver."""
+    ids = spark.createDataFrame([(i % 50 if i % 3 else 7,) for i in range(3000)] + [(None,)], "doc_id bigint").repartition(5)
+    got = [r.doc_id for r in common.sampled_ids(ids, 20, 1).collect()]
+    assert len(got) == len(set(got)) == 20 and sorted(got) == sorted(r.doc_id for r in common.sampled_ids(ids.coalesce(1), 20, 1).collect())
+    assert common.sampled_ids(ids, 500, 1).count() == 50 and common.sampled_ids(ids.where("false"), 5, 1).count() == 0
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1)], "doc_id bigint, t string, n int")
+    assert sorted(tuple(r) for r in common.one_a_doc(rows, "t", "n").collect()) == [(1, "a", 9), (2, None, 1)]
+
+
 def test_simhash(odd, nothing):
     got = {r.doc_id: r.kept_id for r in simhash_forest.near_groups(odd).collect()}
     assert got == {2: 1, 5: 4, 8: 4}  # texts without words are copies of each other
@@ -135,6 +187,16 @@ def test_missing_columns(odd):
             f(odd.drop("text"))
 
 
+class Unnamed:
+    """Stands for a cluster's session whose settings name no folder."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+
 class Named:
     """Stands for a cluster's session, whose settings name the folder."""
 
@@ -147,6 +209,8 @@ class Named:
 def test_shared_folder_is_the_clusters(spark):
     assert common.shared_folder(Named()) == "hdfs://shared/folder"
     assert common.shared_folder(spark) == common.shared_folder(spark)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Unnamed())
 
 
 @pytest.mark.parametrize("empty", [False, True])
