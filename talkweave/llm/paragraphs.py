@@ -58,7 +58,7 @@ from .components import components
 
 REACH, LEAST_WORDS, SHINGLE, ROWS = 5, 6, 3, 4
 WIDE, LANES, PARTNERS = 32, 4, 3
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 JACCARD, RECALL, MIN_WORDS = 0.8, 0.95, 20
 
 
