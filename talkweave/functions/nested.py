@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 
 def flatten_json(text: Column) -> Column:
@@ -26,24 +27,23 @@ def _walk(value: object, path: tuple[str, ...], lists: bool) -> Iterator[tuple[t
         yield path, value
 
 
-@udtf(returnType="path array<string>, leaf string")
-class FlattenTree:
-    """(json, flatten_lists) -> a row for each leaf: its key path and its JSON text; null text gives no row."""
-
-    def eval(self, text: str, lists: bool) -> Iterator[tuple[list[str], str]]:
-        if text is not None:
-            for path, value in _walk(json.loads(text), (), bool(lists)):
-                yield list(path), json.dumps(value)
-
-
 def flatten_tree(df: DataFrame, keys: list[str], text: str, lists: bool = False, reverse: bool = False) -> DataFrame:
-    """Leaves of JSON of any depth: (keys, path, leaf)."""
-    spark = df.sparkSession
-    spark.udtf.register("talkweave_flatten", FlattenTree)
-    df.createOrReplaceTempView("_talkweave_tree")
-    names = ", ".join(f"t.`{k}`" for k in keys)
-    out = spark.sql(f"SELECT {names}, f.path, f.leaf FROM _talkweave_tree t, LATERAL talkweave_flatten(t.`{text}`, {str(lists).lower()}) f")
-    return out.withColumn("path", F.reverse("path")) if reverse else out
+    """Leaves of JSON of any depth: (keys, path, leaf); a null text gives no row. Trees are walked in Arrow batches."""
+    own = df.select(*keys, F.col(text).alias("_tree")).where("_tree is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, path, leaf = [], [], []
+            for i, tree in enumerate(batch.column(len(keys)).to_pylist()):
+                for p, v in _walk(json.loads(tree), (), lists):
+                    row.append(i)
+                    path.append(p[::-1] if reverse else p)
+                    leaf.append(json.dumps(v))
+            kept = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(path, pa.list_(pa.string())), pa.array(leaf, pa.string())], [*keys, "path", "leaf"])
+
+    schema = T.StructType([*own.drop("_tree").schema.fields, T.StructField("path", T.ArrayType(T.StringType())), T.StructField("leaf", T.StringType())])
+    return own.mapInArrow(run, schema)
 
 
 def map_leaves(tree: Column, fn: Callable[[Column], Column]) -> Column:

@@ -1,10 +1,10 @@
 """Array signal processing in numpy, for use inside grouped maps.
 
 Axes: d channel, t frame, f frequency, k class.  Formulas follow the published
-papers: weighted prediction error dereverberation (Nakatani et al. 2010),
-complex angular central Gaussian mixtures (Ito et al. 2016) guided by activity
-(Boeddeker et al. 2018), Souden's MVDR (2010) with blind analytic
-normalisation (Warsitz and Haeb-Umbach 2007).
+papers: weighted prediction error dereverberation, complex angular central
+Gaussian mixtures guided by activity, the MVDR beamformer without steering
+vector, the generalised eigenvalue beamformer, and blind analytic
+normalisation.
 """
 
 from __future__ import annotations

@@ -27,12 +27,25 @@ def activity_ratio(df: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def overlap_per_utterance(df: DataFrame, width: int = ov.HOUR_US) -> DataFrame:
-    """(session, utt, length, overlap): how much of each utterance is also spoken in by another speaker of its session."""
-    met = ov.overlap_join(df, df, ["session"], width, extra=F.col("speaker") != F.col("speaker_r"))
-    parts = met.select("session", "utt", F.col("overlap_start").alias("start"), F.col("overlap_end").alias("end"))
-    covered = iv.normalise(parts, ["session", "utt"]).groupBy("session", "utt").agg(F.sum(F.col("end") - F.col("start")).alias("overlap"))
-    own = iv.proper(df).select("session", "utt", (F.col("end") - F.col("start")).alias("length"))
-    return own.join(covered, ["session", "utt"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("bigint")))
+    """(session, utt, length, overlap): how much of each utterance is also spoken in by another speaker of its session.
+
+    No pairs are listed, so the cost doesn't grow with how many speak at once. Within an utterance its own speaker is
+    active, so another one is where two speakers or more are. These stretches are measured from each bucket's begin
+    by running sums; an utterance's overlap is the difference of the measure at its ends, bucket by bucket.
+    """
+    own = iv.proper(df).select("session", "speaker", "utt", "start", "end")
+    several = iv.concurrency(iv.normalise(own, ["session", "speaker"]), ["session"], width).where("n > 1")
+    several, cut = (iv.split(x, width) for x in (several.select("session", "start", "end"), own.select("session", "utt", "start", "end")))
+    none = F.lit(None).cast(df.schema["utt"].dataType)
+    steps = [(F.col("start"), F.lit(1), none, F.lit(0)), (F.col("end"), F.lit(-1), none, F.lit(0))]
+    asked = [(F.col("start"), F.lit(0), F.col("utt"), F.lit(-1)), (F.col("end"), F.lit(0), F.col("utt"), F.lit(1))]
+    events = lambda x, ends: x.select("session", "_b", F.inline(F.array(*(F.struct(a.alias("at"), d.alias("d"), u.alias("utt"), s.alias("sign")) for a, d, u, s in ends))))
+    every = events(several, steps).unionByName(events(cut, asked))
+    upto = Window.partitionBy("session", "_b").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    measure = F.col("at") * F.sum("d").over(upto) - F.sum(F.col("d") * F.col("at")).over(upto)
+    overlap = every.withColumn("m", F.col("sign") * measure).where("utt is not null").groupBy("session", "utt").agg(F.sum("m").cast("bigint").alias("overlap"))
+    length = own.select("session", "utt", (F.col("end") - F.col("start")).alias("length"))
+    return length.join(overlap, ["session", "utt"])
 
 
 def overlap_summary(per: DataFrame) -> DataFrame:
@@ -74,11 +87,9 @@ def consistent(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def flag_extremes(df: DataFrame, *columns: str) -> DataFrame:
-    """Adds ``<c>_is_min`` and ``<c>_is_max``: joined with one row of totals, so that no window holds all rows."""
-    ends = df.agg(*(F.min(c).alias(f"_lo_{c}") for c in columns), *(F.max(c).alias(f"_hi_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(ends))
-    out = out.withColumns({f"{c}_is_min": F.col(c) == F.col(f"_lo_{c}") for c in columns} | {f"{c}_is_max": F.col(c) == F.col(f"_hi_{c}") for c in columns})
-    return out.drop(*(f"_{e}_{c}" for e in ("lo", "hi") for c in columns))
+    """Adds ``<c>_is_min`` and ``<c>_is_max``: compared with one row of totals, so that no window holds all rows."""
+    ends = df.agg(F.struct(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns)).alias("_e")).scalar()
+    return df.withColumns({f"{c}_is_{e}": F.col(c) == ends[c][at] for e, at in (("min", "lo"), ("max", "hi")) for c in columns})
 
 
 def best_score(scores: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ def gate(df: DataFrame, bad: Column, message: str) -> DataFrame:
     return df.where(check)
 
 
+def gated_by(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
+    """``df``, which fails while running if ``bad`` has a row: one flag, checked once a partition and not joined to rows."""
+    flag = bad.agg((F.count("*") > 0).alias("_bad"))
+    return df.where(~F.when(flag.select("_bad").scalar(), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False)))
+
+
 class Catalog:
     """Datasets and aliases over a table ``examples`` with columns example_id, dataset, ...; alias: (alias, dataset)."""
 
@@ -59,9 +65,9 @@ class Catalog:
 
 
 def unique_ids(df: DataFrame, key: str = "example_id") -> DataFrame:
-    """``df``, which fails if a key occurs twice."""
-    n = F.count("*").over(Window.partitionBy(key))
-    return gate(df.withColumn("_n", n), F.col("_n") > 1, f"{key} isn't unique").drop("_n")
+    """``df``, which fails if a key occurs twice. Only the keys are counted; rows stay where they are."""
+    twice = df.groupBy(key).count().where("count > 1").select(key).limit(1)
+    return gated_by(df, twice, f"{key} isn't unique")
 
 
 def not_redacted(df: DataFrame, column: str = "transcription") -> DataFrame:
@@ -209,13 +215,12 @@ def available_channels(files: DataFrame) -> DataFrame:
 
 
 def all_exist(paths: DataFrame, listing: DataFrame) -> DataFrame:
-    """``paths`` (path), which fails if an audio file of it isn't in ``listing`` or there is none."""
+    """``paths`` (path), which fails while running if an audio file of it isn't in ``listing``, or there is none at all."""
     audio = paths.where(F.col("path").rlike(r"\.(wav|wv1|wv2|flac)$"))
-    n = audio.count()
-    lost = audio.join(listing.select("path"), "path", "left_anti")
-    if not n or lost.take(1):
-        raise FileNotFoundError(f"{lost.count()} of {n} audio files are missing, e.g. {[r[0] for r in lost.take(3)]}")
-    return audio
+    found = audio.join(listing.select("path").distinct().withColumn("_hit", F.lit(True)), "path", "left")
+    found = found.withColumn("path", F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("audio file is missing: "), F.col("path"))).cast("string")).otherwise(F.col("path")))
+    none = audio.agg(F.count("*").alias("_n")).where("_n = 0").select(F.raise_error(F.lit("no audio file")).cast("string").alias("path"))
+    return found.drop("_hit").unionByName(none, allowMissingColumns=True)
 
 
 def resolve(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

@@ -114,14 +114,14 @@ def _files(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
 
 
 FILES = """files AS (SELECT DISTINCT 'u' || l_orderkey AS utt, CASE WHEN l_linenumber % 2 = 0 THEN 'worn' ELSE 'observation' END AS type, 'CH' || l_linenumber AS channel, '/a/' || l_orderkey || '/' || l_linenumber || '.wav' AS path, l_linenumber AS k FROM lineitem)"""
-Q["file_lists_combined"] = lambda spark, d: cat.combine_file_lists(_files(spark, d, 4), _files(spark, d, 3), "_b")
-S["file_lists_combined"] = f"WITH {FILES} SELECT utt, type, channel, path FROM files WHERE k <= 3 UNION ALL SELECT utt || '_b', type, channel, path FROM files WHERE k <= 3"
+Q["file_lists_combined"] = lambda spark, d: cat.combine_file_lists(_files(spark, d, 7), _files(spark, d, 7).where("channel not in ('CH2', 'CH6')"), "_b")
+S["file_lists_combined"] = f"WITH {FILES}, f AS (SELECT utt, type, channel, path FROM files WHERE k NOT IN (2, 6)) SELECT * FROM f UNION ALL SELECT utt || '_b', type, channel, path FROM f"
 Q["file_list_channel"] = lambda spark, d: cat.for_channel(_files(spark, d, 7), "CH2")
 S["file_list_channel"] = f"WITH {FILES} SELECT utt, type, channel, path FROM files WHERE k = 2"
 Q["available_channels"] = lambda spark, d: cat.available_channels(_files(spark, d, 7))
 S["available_channels"] = f"WITH {FILES} SELECT type, list_sort(list(DISTINCT channel)) AS channels FROM files GROUP BY type"
-Q["audio_files_exist"] = lambda spark, d: cat.all_exist(_files(spark, d, 2).select("path"), _files(spark, d, 7).select("path"))
-S["audio_files_exist"] = f"WITH {FILES} SELECT path FROM files WHERE k <= 2"
+Q["audio_files_exist"] = lambda spark, d: cat.all_exist(_files(spark, d, 7).select("path"), _files(spark, d, 7).select("path"))
+S["audio_files_exist"] = f"WITH {FILES} SELECT path FROM files"
 Q["dimension_lookup"] = lambda spark, d: cat.resolve(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
 S["dimension_lookup"] = "SELECT n_nationkey, c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
 

@@ -39,9 +39,14 @@ def example_fields(ddl: str) -> str:
 
 
 def transcripts(spark: SparkSession, path: str, multi: bool) -> DataFrame:
-    """Transcript rows with their place in the file (pos) and the file's path; times in samples."""
-    raw = json_document(spark, path, TRANSCRIPT_MULTI if multi else TRANSCRIPT_SINGLE).withColumn("path", F.col("_metadata.file_path"))
-    raw = raw.withColumn("pos", F.monotonically_increasing_id())
+    """Transcript rows with their place in the file (pos) and the file's path; times in samples.
+
+    A file is one session's list, read as a whole, so that the places don't depend on how files are packed into tasks.
+    What doesn't fit the schema raises.
+    """
+    row = T.ArrayType(TRANSCRIPT_MULTI if multi else TRANSCRIPT_SINGLE)
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", row, {"mode": "FAILFAST"}).alias("_l"))
+    raw = raw.select("path", F.posexplode("_l").alias("pos", "_t")).select("path", "pos", "_t.*")
     conv = timebase.map_to_samples if multi else timebase.to_samples
     return raw.withColumns({"start_time": conv(F.col("start_time")), "end_time": conv(F.col("end_time"))})
 
@@ -177,13 +182,14 @@ def occurrences_text(values: Column) -> Column:
 def word_ids(df: DataFrame, text: str, symbols: DataFrame, oov: int | None = None) -> DataFrame:
     """Adds ``<text>_ids``: the words' ids; an unknown word gets ``oov``, or raises without one; a missing text raises.
 
-    The vocabulary is joined, not put in a map, so that it may be large.
+    The vocabulary is joined, not put in a map, so that it may be large. Each distinct text is looked up once, and the
+    ids come back to the rows by the text, so no row number is needed.
     """
-    df = catalog.gate(df, F.col(text).isNull(), f"{text} is missing").withColumn("_row", F.monotonically_increasing_id())
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    long = df.select("_row", F.posexplode_outer(words).alias("_pos", "word")).join(symbols.select("word", F.col("id").cast("bigint").alias("id")), "word", "left")
+    df = catalog.gate(df, F.col(text).isNull(), f"{text} is missing")
+    texts = df.select(F.col(text).alias("_row")).distinct()
+    long = texts.select("_row", F.posexplode_outer(F.filter(F.split(F.trim("_row"), r"\s+"), lambda w: w != "")).alias("_pos", "word")).join(symbols.select("word", F.col("id").cast("bigint").alias("id")), "word", "left")
     unknown = F.lit(oov).cast("bigint") if oov is not None else F.raise_error(F.concat(F.lit("no id: "), F.col("word"))).cast("bigint")
     long = long.withColumn("id", F.when(F.col("word").isNull(), F.lit(None).cast("bigint")).when(F.col("id").isNull(), unknown).otherwise(F.col("id")))
     ids_ = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("_pos", "id"))), lambda x: x["_pos"].isNotNull()), lambda x: x["id"])
     got = long.groupBy("_row").agg(ids_.alias(f"{text}_ids"))
-    return df.join(got, "_row").drop("_row")
+    return df.join(got, df[text] == got["_row"]).drop("_row")
