@@ -86,6 +86,13 @@ def wpe(y: np.ndarray, taps: int = 10, delay: int = 2, iterations: int = 3, psd_
     return x
 
 
+def wpe_arrays(y: np.ndarray, taps: int = 10, delay: int = 2, iterations: int = 3, psd_context: int = 0, stack: bool = True) -> np.ndarray:
+    """Dereverberated (a, d, t) of several arrays at one frequency: all channels together (``stack``) or each array by itself."""
+    if stack:
+        return wpe(y.reshape(-1, y.shape[-1]), taps, delay, iterations, psd_context).reshape(y.shape)
+    return np.stack([wpe(x, taps, delay, iterations, psd_context) for x in y])
+
+
 def initial_masks(activity: np.ndarray) -> np.ndarray:
     """(k, t) activity as start of the EM: no zeros, classes sum to one."""
     m = np.where(activity > 0, 1.0, 1e-10)
@@ -232,6 +239,18 @@ def beamform(y: np.ndarray, target_mask: np.ndarray, noise_mask: np.ndarray, kin
     return out * target_mask if postfilter else out
 
 
+def beamform_by_power(y: np.ndarray, mask: str = "lorenz", kind: str = "mvdrSouden", **options: float) -> np.ndarray:
+    """(t, f) of (d, t, f) with masks from the power alone: ``lorenz`` (its complement is the noise's) or ``quantile`` (the strongest frames and the weakest)."""
+    power = np.abs(y) ** 2
+    if mask == "lorenz":
+        target = np.stack([lorenz_mask(p, **options) for p in power])
+        return beamform(y, target, 1 - target, kind)
+    if mask != "quantile":
+        raise ValueError(f"no mask {mask!r}")
+    quantile = options.pop("quantile", 0.1)
+    return beamform(y, *(np.stack([quantile_mask(p, q, **options) for p in power]) for q in (quantile, -quantile)), kind)
+
+
 def pair_masks(masks: np.ndarray, own: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Target (t, f) and distortion (sum of the others) of (k, t, f); frames outside ``[first, last)`` are zero."""
     masks = masks.copy()

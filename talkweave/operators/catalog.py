@@ -146,13 +146,25 @@ def shard(df: DataFrame, order: Sequence[str], job: int, jobs: int) -> DataFrame
     return dataset_slice(df, slice(job - 1, None, jobs), order)
 
 
-def limit_length(df: DataFrame, signal: str, most: int, key: str = "example_id", seed: int = 0) -> DataFrame:
-    """Crops longer signals to ``most`` items from an offset in [0, max(1, (n - most) div 2)) that the id's hash gives."""
+def limit_length(df: DataFrame, signal: str, most: int, key: str = "example_id", seed: int = 0, alignment: str | None = None, length: int = 400, shift: int = 160) -> DataFrame:
+    """Crops longer signals to ``most`` items from an offset in [0, max(1, (n - most) div 2)) that the id's hash gives.
+
+    An ``alignment`` column (an item a frame of ``length`` by ``shift``) is cropped alike: by frames, or if it has as many
+    items as the cropped signal has threefold frames, by these.
+    """
     n = F.size(signal)
     span = F.greatest(F.lit(1), F.call_function("div", n - most, F.lit(2)).cast("int"))
-    offset = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), span).cast("int")
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    offset = F.pmod(F.conv(digits, 16, 10).cast("bigint"), span).cast("int")
     cropped = F.when(n > most, F.slice(signal, offset + 1, F.lit(most))).otherwise(F.col(signal))
-    return df.withColumns({signal: cropped, "num_samples": F.least(n, F.lit(most)).cast("bigint")})
+    new = {signal: cropped, "num_samples": F.least(n, F.lit(most)).cast("bigint")}
+    if alignment:
+        frame = lambda s: F.greatest(F.lit(0), F.call_function("div", s - length + shift, F.lit(shift)).cast("int"))
+        third = lambda f: F.call_function("div", f + 2, F.lit(3)).cast("int")
+        low = F.size(alignment) == third(frame(F.lit(most)))
+        first, count = (F.when(low, third(frame(x))).otherwise(frame(x)) for x in (offset, F.lit(most)))
+        new[alignment] = F.when(n > most, F.slice(alignment, first + 1, count)).otherwise(F.col(alignment))
+    return df.withColumns(new)
 
 
 def session_ids(wanted: DataFrame, groups: DataFrame) -> DataFrame:

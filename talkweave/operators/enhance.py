@@ -10,6 +10,7 @@ the EM of one frequency is one small group and all frequencies run in parallel.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import signal
 
+from . import catalog
+from . import sessions as ss
+
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters and their defaults; ``context_samples`` is for the preparation of the rows."""
+    """Parameters and their defaults; ``context_samples``, ``multiarray`` and ``noise_class`` are for the preparation of the rows."""
 
     context_samples: int = 240000
     wpe: bool = True
@@ -143,6 +147,38 @@ def enhance(channels: DataFrame, activity: DataFrame, classes: DataFrame, target
     return both.groupBy("utt").applyInPandas(one, "utt string, samples array<double>")
 
 
+def enhance_sessions(
+    of: catalog.Catalog, sessions: str | Sequence[str], files: DataFrame, arrays: DataFrame, speakers: DataFrame, lengths: DataFrame, config: Config = Config(),
+    reference: str | None = None, alignment: DataFrame | None = None,
+) -> DataFrame:
+    """(utt, samples) of every example of the sessions, from the catalog and wav files (path, content) on.
+
+    Rows are prepared with adjusted times and ``config.context_samples`` of context, channels are those that
+    ``config.multiarray`` chooses, and the activity is that on the clock of each row's reference array (or ``reference``)
+    with ``config.noise_class``. Dimensions as in ``sessions``.
+    """
+    rows = ss.session_rows(of, sessions, drop_unknown=True, adjust_times=True, context_samples=config.context_samples)
+    heard = ss.session_audio(rows, files).withColumnRenamed("example_id", "utt")
+    every = of.get_datasets(sessions)
+    active = ss.activity(every, ss.perspectives("array", every, arrays), lengths, config.noise_class, alignment)
+    return enhance(*ss.prepared(rows, heard, active, speakers, config.noise_class, config.multiarray, reference), config)
+
+
+def beamform(spectrum: DataFrame, weights: DataFrame, kind: str = "mvdrSouden_ban", postfilter: str | None = None) -> DataFrame:
+    """(utt, f, t, spectrum): spectra (utt, f, d, t, spectrum) beamformed with masks (utt, f, target, noise: array<double> of t items)."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        _one_thread()
+        group = group.sort_values("f")
+        d, t = int(group["d"].iloc[0]), int(group["t"].iloc[0])
+        y = np.stack([complex_of(s, d, t) for s in group["spectrum"]], -1)
+        target, noise = (np.stack([np.asarray(m, float) for m in group[c]], -1) for c in ("target", "noise"))
+        out = signal.beamform(y, target, noise, kind, postfilter)
+        return pd.DataFrame({"utt": group["utt"].iloc[0], "f": group["f"].to_numpy(), "t": t, "spectrum": [interleave(out[:, k]) for k in range(out.shape[1])]})
+
+    return spectrum.join(weights.select("utt", "f", "target", "noise"), ["utt", "f"]).groupBy("utt").applyInPandas(one, "utt string, f int, t int, spectrum array<double>")
+
+
 def masked_covariance(frames: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """(keys, i, j, cov): weighted second moments of real vectors, summed on the JVM with map-side combining."""
     pairs = frames.select(*keys, weight, F.posexplode(value).alias("i", "x"), F.col(value).alias("_v")).select(*keys, weight, "i", "x", F.posexplode("_v").alias("j", "y"))

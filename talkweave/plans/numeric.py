@@ -140,37 +140,67 @@ def shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["truncate_to_shortest"] = shortest
 S["truncate_to_shortest"] = f"""WITH {VECTORS}, c AS (SELECT vec_id, label, x[1:18 + vec_id % 40] AS x FROM v), k AS (SELECT *, min(len(x)) OVER (PARTITION BY label) AS n FROM c WHERE len(x) >= 20)
 SELECT vec_id, label, x[1:n] AS x FROM k"""
-Q["beamform_sum"] = lambda spark, d: _long(spark, d).groupBy("label", "i").agg(F.sum(F.floor(F.col("v") * 1000)).alias("y"))
-S["beamform_sum"] = f"WITH {VECTORS} SELECT label, CAST(i - 1 AS INT) AS i, CAST(sum(floor(x[i] * 1000)) AS BIGINT) AS y FROM v, range(1, 5000) r(i) WHERE i <= len(x) GROUP BY ALL"
-Q["beamform_channel"] = lambda spark, d: _long(spark, d).withColumn("c", F.row_number().over(Window.partitionBy("label", "i").orderBy("vec_id")) - 1).where("c = 2").select("label", "i", "v")
-S["beamform_channel"] = f"WITH {VECTORS} SELECT label, CAST(i - 1 AS INT) AS i, x[i] AS v FROM v, range(1, 5000) r(i) WHERE i <= len(x) QUALIFY row_number() OVER (PARTITION BY label, i ORDER BY vec_id) = 3"
+
+
+def _beamformed(kind: str, postfilter: str | None = None):  # noqa: ANN202
+    """Four vectors as the channels of an utterance of two frequencies, beamformed by the library; real parts by frame."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _vectors(spark, sf_dir).select(F.call_function("div", F.col("vec_id"), F.lit(4)).cast("string").alias("utt"), "vec_id", "x")
+        listed = lambda v: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", v.alias("v")))), lambda r: r["v"]))
+        pairs = lambda k: F.flatten(F.transform("x", lambda v: F.array(F.floor(v * 1000).cast("double") * k, F.lit(0.0))))
+        per = rows.groupBy("utt").agg(F.count("*").cast("int").alias("d"), F.min(F.size("x")).alias("t"), listed(pairs(1)).alias("s0"), listed(pairs(-3)).alias("s1"))
+        spectrum = per.select("utt", "d", "t", F.posexplode(F.array("s0", "s1")).alias("f", "spectrum"))
+        on = F.transform(F.sequence(F.lit(1), F.col("t")), lambda i: F.pmod(i, F.lit(3)).cast("double"))
+        got = enhance.beamform(spectrum, spectrum.select("utt", "f", on.alias("target"), on.alias("noise")), kind, postfilter)
+        return got.select("utt", "f", F.posexplode(F.filter("spectrum", lambda v, i: i % 2 == 0)).alias("i", "y"))
+
+    return run
+
+
+def _beamformed_sql(value: str) -> str:
+    return f"""WITH {VECTORS}, e AS (SELECT vec_id, CAST(vec_id // 4 AS VARCHAR) AS utt, CAST(i - 1 AS INT) AS i, floor(x[i] * 1000) AS v FROM v, range(1, 5000) r(i) WHERE i <= len(x))
+SELECT utt, CAST(f AS INT) AS f, i, {value} AS y FROM e, (VALUES (0, 1.0::DOUBLE), (1, -3.0::DOUBLE)) k(f, k)"""
+
+
+Q["beamform_sum"] = _beamformed("sum")
+S["beamform_sum"] = _beamformed_sql("sum(v * k)") + " GROUP BY ALL"
+Q["beamform_channel"] = _beamformed("ch1")
+S["beamform_channel"] = _beamformed_sql("v * k") + " QUALIFY row_number() OVER (PARTITION BY utt, f, i ORDER BY vec_id) = 2"
+Q["beamform_postfilter"] = _beamformed("sum", "mask_mul")
+S["beamform_postfilter"] = _beamformed_sql("sum(v * k * ((i + 1) % 3))") + " GROUP BY ALL"
 
 
 def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors cropped at an offset that their id's hash gives."""
+    """Vectors cropped at an offset that their id's hash gives, with an alignment of an item a frame of 4 by 2."""
     from talkweave.operators import catalog as cat
 
-    got = cat.limit_length(_vectors(spark, sf_dir), "x", 40, "vec_id")
-    return got.select("vec_id", "num_samples", F.size("x").alias("n"))
+    rows = _vectors(spark, sf_dir).withColumn("frames", F.sequence(F.lit(0), F.call_function("div", F.size("x") - 2, F.lit(2)).cast("int")))
+    return cat.limit_length(rows, "x", 40, "vec_id", alignment="frames", length=4, shift=2).select("vec_id", "num_samples", "x", F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").alias("frames"))
 
 
 Q["limit_length"] = cropped
-S["limit_length"] = f"WITH {VECTORS} SELECT vec_id, CAST(least(len(x), 40) AS BIGINT) AS num_samples, CAST(least(len(x), 40) AS INT) AS n FROM v"
+S["limit_length"] = f"""WITH {VECTORS}, o AS (SELECT vec_id, x, len(x) AS n, CAST(CAST('0x' || substr(md5('0:' || vec_id), 1, 8) AS BIGINT) % greatest(1, (len(x) - 40) // 2) AS INT) AS o FROM v)
+SELECT vec_id, CAST(least(n, 40) AS BIGINT) AS num_samples, CASE WHEN n > 40 THEN x[o + 1:o + 40] ELSE x END AS x,
+  array_to_string(CASE WHEN n > 40 THEN list_slice(range(0, (n - 2) // 2 + 1), greatest(0, (o - 2) // 2) + 1, greatest(0, (o - 2) // 2) + 19) ELSE range(0, (n - 2) // 2 + 1) END, ',') AS frames FROM o"""
 
 
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written as wav files of two equal channels, their headers read, and samples 4 to 12 of channel 1 read back."""
-    rows = _vectors(spark, sf_dir).select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), F.transform("x", lambda v: F.round(v * 64) / 128).alias("samples"))
+    """Vectors written as wav files of two channels, their headers read, and every sample of both read back, with samples 4 to 12 by a ranged read."""
+    rows = _vectors(spark, sf_dir).select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), "x")
+    rows = rows.select("vec_id", "channel", F.transform("x", lambda v: (F.round(v * 64) + F.col("channel")) / 128).alias("samples"))
     files = audio.encode(rows, "vec_id", kind="float64")
-    part = audio.load(files.select(F.col("vec_id").cast("string").alias("path"), "content"), 4, 12).where("channel = 1")
+    named = files.select("vec_id", F.lit("x").alias("path"), "content")
+    whole, part = audio.load(named, keep=("vec_id",)), audio.load(named, 4, 12, keep=("vec_id",)).withColumnRenamed("samples", "some")
     facts = files.select("vec_id", audio.shape(F.col("content")).alias("h"), "n_clipped")
-    both = facts.join(part.select(F.col("path").cast("bigint").alias("vec_id"), "samples"), "vec_id")
-    return both.select("vec_id", "h.channels", F.col("h.samples").alias("n"), "h.rate", "n_clipped", "samples")
+    both = facts.join(whole.drop("path"), "vec_id").join(part.drop("path"), ["vec_id", "channel"])
+    return both.select("vec_id", "channel", "h.channels", F.col("h.samples").alias("n"), "h.rate", "n_clipped", "samples", "some")
 
 
 Q["wav_round_trip"] = wav_round_trip
-S["wav_round_trip"] = f"""WITH {VECTORS}, y AS (SELECT vec_id, list_transform(x, lambda z: (round(z * 64) + 0.0) / 128) AS y FROM v) SELECT vec_id, 2 AS channels, CAST(len(y) AS BIGINT) AS n, 16000 AS rate,
-  CAST(2 * len(list_filter(y, lambda z: z < -1 OR z >= 1)) AS BIGINT) AS n_clipped, y[5:12] AS samples FROM y"""
+S["wav_round_trip"] = f"""WITH {VECTORS}, y AS (SELECT vec_id, channel, list_transform(x, lambda z: (round(z * 64) + channel) / 128.0::DOUBLE) AS y FROM v, (VALUES (0), (1)) c(channel)),
+k AS (SELECT vec_id, CAST(sum(len(list_filter(y, lambda z: z < -1 OR z >= 1))) AS BIGINT) AS k FROM y GROUP BY vec_id)
+SELECT vec_id, channel, 2 AS channels, CAST(len(y) AS BIGINT) AS n, 16000 AS rate, k AS n_clipped, y AS samples, y[5:12] AS some FROM y JOIN k USING (vec_id)"""
 
 
 def enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:

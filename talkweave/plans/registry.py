@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotations, examples, intervals, numeric, times
+from . import annotations, examples, intervals, numeric, sessions, times
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, times, examples, numeric, annotations):
+for module in (intervals, times, examples, numeric, annotations, sessions):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -7,13 +7,15 @@ isn't RIFF/WAVE raises; a null content gives a null result.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHAPE = "channels int, samples bigint, rate int, bits int"
 
@@ -113,19 +115,32 @@ def shape(content: Column) -> Column:
     return of(content)
 
 
-def load(df: DataFrame, start: Column | int = 0, stop: Column | int | None = None, unit: str = "samples", rate: int = 16000) -> DataFrame:
-    """(path, channel, samples) of rows (path, content): a row for each channel of ``[start, stop)``."""
+def load(df: DataFrame, start: Column | int = 0, stop: Column | int | None = None, unit: str = "samples", rate: int = 16000, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, channel, samples) of rows (path, content): a row for each channel of ``[start, stop)``, with the columns ``keep``."""
     if unit not in ("samples", "seconds"):
         raise ValueError(f"no unit {unit!r}")
     scale = rate if unit == "seconds" else 1
     at = [F.round((c if isinstance(c, Column) else F.lit(c)) * scale).cast("bigint") for c in (start, stop)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, k, y.tolist()) for p, c, lo, hi in zip(b["path"], b["content"], b["lo"], b["hi"]) if c is not None for k, y in enumerate(read(bytes(c), int(lo), None if pd.isna(hi) else int(hi)))]
-            yield pd.DataFrame(rows, columns=["path", "channel", "samples"])
-
-    return df.select("path", "content", at[0].alias("lo"), at[1].alias("hi")).mapInPandas(run, "path string, channel int, samples array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(names)}
+            row, channel, samples = [], [], []
+            for i, (c, lo, hi) in enumerate(zip(column["content"], column["_lo"].to_pylist(), column["_hi"].to_pylist())):
+                for k, y in enumerate(read(c.as_py(), lo or 0, hi) if c.is_valid else ()):
+                    row.append(i)
+                    channel.append(k)
+                    samples.append(y)
+            ends = pa.array(np.cumsum([0, *map(len, samples)]).astype(np.int32))
+            values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *samples])))
+            took = [column[n].take(pa.array(row, pa.int64())) for n in (*keep, "path")]
+            yield pa.RecordBatch.from_arrays([*took, pa.array(channel, pa.int32()), values], [*keep, "path", "channel", "samples"])
+
+    names = [*keep, "path", "content", "_lo", "_hi"]
+    own = df.select(*keep, "path", "content", at[0].alias("_lo"), at[1].alias("_hi"))
+    fields = [own.schema[n] for n in (*keep, "path")]
+    schema = T.StructType([*fields, T.StructField("channel", T.IntegerType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
+    return own.mapInArrow(run, schema)
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:

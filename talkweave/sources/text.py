@@ -45,7 +45,7 @@ def transcripts(spark: SparkSession, path: str, multi: bool) -> DataFrame:
     What doesn't fit the schema raises.
     """
     row = T.ArrayType(TRANSCRIPT_MULTI if multi else TRANSCRIPT_SINGLE)
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", row, {"mode": "FAILFAST"}).alias("_l"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", row, {"mode": "FAILFAST"}).alias("_l"))
     raw = raw.select("path", F.posexplode("_l").alias("pos", "_t")).select("path", "pos", "_t.*")
     conv = timebase.map_to_samples if multi else timebase.to_samples
     return raw.withColumns({"start_time": conv(F.col("start_time")), "end_time": conv(F.col("end_time"))})
