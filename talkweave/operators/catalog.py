@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,28 +25,34 @@ def gated_by(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
 
 
 class Catalog:
-    """Datasets and aliases over a table ``examples`` with columns example_id, dataset, ...; alias: (alias, dataset)."""
+    """Datasets and aliases over a table ``examples`` with columns example_id, dataset, ...; alias: (alias, dataset).
+
+    The names (a row a dataset or alias, so few) are read once.
+    """
 
     def __init__(self, examples: DataFrame, alias: DataFrame | None = None):
         self.examples, self.alias = examples, alias
 
-    @property
+    @cached_property
+    def _aliases(self) -> dict[str, list[str]]:
+        rows = [] if self.alias is None else self.alias.groupBy("alias").agg(F.sort_array(F.collect_set("dataset")).alias("datasets")).collect()
+        return {r.alias: r.datasets for r in sorted(rows, key=lambda r: r.alias)}
+
+    @cached_property
     def dataset_names(self) -> list[str]:
-        """Datasets, then aliases: a name a row, so small."""
-        own = sorted(r[0] for r in self.examples.select("dataset").distinct().collect())
-        return own + (sorted(r[0] for r in self.alias.select("alias").distinct().collect()) if self.alias is not None else [])
+        """Datasets, then aliases."""
+        return sorted(r[0] for r in self.examples.select("dataset").distinct().collect()) + list(self._aliases)
 
     def members(self, name: str) -> list[str]:
-        if self.alias is None:
-            return [name]
-        return sorted(r[0] for r in self.alias.where(F.col("alias") == name).select("dataset").distinct().collect()) or [name]
+        return self._aliases.get(name, [name])
 
     def get_datasets(self, names: str | Sequence[str]) -> DataFrame:
         """UNION ALL of the named datasets: a name given twice gives its rows twice. An alias's rows carry the alias's name."""
         names = [names] if isinstance(names, str) else list(names)
-        known, out = self.dataset_names, None
+        out = None
         for name in names:
-            if name not in known:
+            if name not in self._aliases and name not in self.dataset_names:
+                known = self.dataset_names
                 near = difflib.get_close_matches(name, known)
                 raise KeyError(f"no dataset {name!r}; close: {near}; there are {known}")
             members = self.members(name)
