@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +132,50 @@ def flatten_axes(df: DataFrame, outer: str, inner: str, size: int, name: str) ->
 def unflatten_axis(df: DataFrame, name: str, size: int, outer: str, inner: str) -> DataFrame:
     """One index column as two, row-major."""
     return df.withColumns({outer: F.call_function("div", F.col(name), F.lit(size)), inner: F.pmod(F.col(name), F.lit(size))}).drop(name)
+
+
+def morph(df: DataFrame, form: str, value: str, reduce: str | None = None, **sizes: int) -> DataFrame:
+    """Reshapes long rows by a text such as ``ACTF->A*CTF`` or ``A*C->AC``: axes are index columns of one letter, ``A*C`` one row-major column.
+
+    ``A*C`` on the right flattens (sizes of all but the first axis are needed), on the left it splits. ``1`` is an axis of
+    one item: on the right a new column of zeros, on the left it has no column. An axis that only the left has is reduced
+    (``reduce``: sum, mean, median, min, max), or without ``reduce`` must be of one item, else it raises. In long form a
+    transposition is only another order of columns.
+    """
+    left, right = (re.findall(r"[A-Za-z1](?:\*[A-Za-z])*", side.replace(" ", "")) for side in form.split("->"))
+    own, new = ([a for group in side for a in group.split("*") if a != "1"] for side in (left, right))
+    if len(set(own)) < len(own) or len(set(new)) < len(new) or not set(new) <= set(own):
+        raise ValueError(f"no reshaping {form!r}")
+    for group in (g for g in left if "*" in g):
+        rest, names = F.col(f"`{group}`").cast("bigint"), group.split("*")
+        split = {}
+        for a in reversed(names[1:]):
+            split[a] = F.pmod(rest, F.lit(sizes[a]).cast("bigint"))
+            rest = F.call_function("div", rest, F.lit(sizes[a]).cast("bigint"))
+        df = df.withColumns({names[0]: rest, **split}).drop(group)
+    gone = [a for a in own if a not in new]
+    others = [c for c in df.columns if c not in (*own, value)]
+    if gone and reduce:
+        df = reduce_axis(df, [*others, *new], value, reduce)
+    elif gone:
+        longer = df.where(" or ".join(f"`{a}` <> 0" for a in gone)).agg((F.count("*") > 0).alias("b")).scalar()
+        df = df.where(~F.when(longer, F.raise_error(F.lit(f"axes {gone} aren't of one item")).cast("boolean")).otherwise(F.lit(False))).drop(*gone)
+    flat = []
+    for k, group in enumerate(right):
+        if group == "1":
+            flat.append(F.lit(0).cast("bigint").alias(f"one{k}"))
+            continue
+        index, *names = group.split("*")
+        index = F.col(index)
+        for a in names:
+            index = index * sizes[a] + F.col(a)
+        flat.append(index.cast("bigint").alias(group))
+    return df.select(*others, *flat, value)
+
+
+def context_channels(df: DataFrame, keys: list[str], order: str, value: str, left: int, right: int, deltas: int = 1) -> DataFrame:
+    """Frames of ``deltas`` blocks of features as (.., channel, height, width): ``stacked`` by block, then feature, then context frame."""
+    got = context_stack(df, keys, order, value, left, right)
+    size = F.call_function("div", F.size(value), F.lit(deltas)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(deltas - 1)), lambda c: F.transform(F.sequence(F.lit(0), size - 1), lambda h: F.transform("stacked", lambda x: F.get(x, c * size + h))))
+    return got.withColumn("stacked", blocks)

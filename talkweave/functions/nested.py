@@ -70,3 +70,48 @@ def to_list(value: Column, is_array: bool = False) -> Column:
 def values_by_key(tree: Column) -> Column:
     """Values of a map in the order of its keys."""
     return F.transform(F.sort_array(F.map_entries(tree)), lambda e: e["value"])
+
+
+def map_tree(tree: Column, kind: T.DataType, fn: Callable[[Column], Column], lists: bool = False) -> Column:
+    """``fn`` on every leaf of structs and maps of any depth (of arrays too with ``lists``); ``kind`` is the tree's type."""
+    if isinstance(kind, T.StructType):
+        return F.when(tree.isNotNull(), F.struct(*(map_tree(tree[f.name], f.dataType, fn, lists).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(tree, lambda _, v: map_tree(v, kind.valueType, fn, lists))
+    if isinstance(kind, T.ArrayType) and lists:
+        return F.transform(tree, lambda v: map_tree(v, kind.elementType, fn, lists))
+    return fn(tree)
+
+
+def map_trees(a: Column, b: Column, kind: T.DataType, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn`` on the leaves of two trees of one type; maps must have the same keys everywhere."""
+    if isinstance(kind, T.StructType):
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(*(map_trees(a[f.name], b[f.name], f.dataType, fn).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return map_aligned(a, b, lambda x, y: map_trees(x, y, kind.valueType, fn))
+    return fn(a, b)
+
+
+def broadcast_tree(value: Column, value_kind: T.DataType, tree: Column, kind: T.DataType) -> Column:
+    """A shallower tree spread over a deeper one: where ``value`` has a leaf, all leaves below that place get it. Keys must match."""
+    if isinstance(kind, T.StructType) and isinstance(value_kind, T.StructType):
+        if sorted(value_kind.names) != sorted(kind.names):
+            raise ValueError(f"the keys differ: {value_kind.names} and {kind.names}")
+        return F.when(tree.isNotNull(), F.struct(*(broadcast_tree(value[f.name], value_kind[f.name].dataType, tree[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType) and isinstance(value_kind, T.MapType):
+        return map_aligned(value, tree, lambda x, y: broadcast_tree(x, value_kind.valueType, y, kind.valueType))
+    if isinstance(value_kind, (T.StructType, T.MapType)):
+        raise ValueError("the value is deeper than the tree")
+    return map_tree(tree, kind, lambda _: value)
+
+
+def sorted_tree(tree: Column, kind: T.DataType) -> Column:
+    """The same tree with fields and keys in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(tree.isNotNull(), F.struct(*(sorted_tree(tree[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(tree))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: sorted_tree(F.element_at(tree, k), kind.valueType)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(tree, lambda v: sorted_tree(v, kind.elementType))
+    return tree

@@ -138,3 +138,78 @@ def shortest_distance(arcs: DataFrame, starts: DataFrame, most: int = 1000) -> D
             return best
         best = shared.materialise(best.join(front, ["graph", "state"], "left_anti").unionByName(front))
     raise RuntimeError(f"no end after {most} rounds")
+
+
+def topsort(arcs: DataFrame, most: int = 1000) -> DataFrame:
+    """Arcs with states renumbered from 0 so that every arc goes upwards: by the longest way to a state, then by its old number.
+
+    A round raises the states behind those that the last one raised; a cycle has no end and raises after ``most``.
+    """
+    from talkweave.sources import shared
+
+    edges = arcs.select("graph", F.col("src").alias("state"), "dst").distinct()
+    states = arcs.select("graph", F.col("src").alias("state")).union(arcs.select("graph", "dst")).distinct()
+    level = shared.materialise(states.withColumn("level", F.lit(0)))
+    front = level
+    for _ in range(most):
+        step = front.join(edges, ["graph", "state"]).groupBy("graph", F.col("dst").alias("state")).agg((F.max("level") + 1).alias("new"))
+        front = shared.materialise(step.join(level, ["graph", "state"]).where("new > level").select("graph", "state", F.col("new").alias("level")))
+        if not front.take(1):
+            break
+        level = shared.materialise(level.join(front, ["graph", "state"], "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"a cycle, or no end after {most} rounds")
+    named = level.withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("level", "state")).cast("bigint") - 1).drop("level")
+    out = arcs.join(named.withColumnsRenamed({"state": "src", "n": "_src"}), ["graph", "src"]).join(named.withColumnsRenamed({"state": "dst", "n": "_dst"}), ["graph", "dst"])
+    return out.withColumns({"src": F.col("_src"), "dst": F.col("_dst")}).select(*arcs.columns)
+
+
+def remove_epsilon(arcs: DataFrame, finals: DataFrame, epsilon: str = "<eps>", most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Arcs and finals without arcs of epsilon on both sides: what they lead to is taken over with the least weight of the way."""
+    from talkweave.sources import shared
+
+    silent = (F.col("ilabel") == epsilon) & (F.col("olabel") == epsilon)
+    moves = arcs.where(silent).groupBy("graph", F.col("src").alias("q"), "dst").agg(F.min("weight").alias("w"))
+    states = arcs.select("graph", F.col("src").alias("p")).union(arcs.select("graph", "dst")).union(finals.select("graph", "state")).distinct()
+    best = shared.materialise(states.select("graph", "p", F.col("p").alias("q"), F.lit(0.0).alias("d")))
+    front = best
+    for _ in range(most):
+        step = front.join(moves, ["graph", "q"]).groupBy("graph", "p", F.col("dst").alias("q")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        front = shared.materialise(step.join(best, ["graph", "p", "q"], "left").where("d is null or new < d").select("graph", "p", "q", F.col("new").alias("d")))
+        if not front.take(1):
+            break
+        best = shared.materialise(best.join(front, ["graph", "p", "q"], "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"no end after {most} rounds")
+    loud = arcs.where(~silent).withColumnRenamed("src", "q").join(best, ["graph", "q"])
+    out = loud.groupBy("graph", F.col("p").alias("src"), "dst", "ilabel", "olabel").agg(F.min(F.col("weight") + F.col("d")).alias("weight"), F.min("seq").alias("seq")).select(*arcs.columns)
+    ends = finals.withColumnRenamed("state", "q").join(best, ["graph", "q"]).groupBy("graph", F.col("p").alias("state")).agg(F.min(F.col("weight") + F.col("d")).alias("weight"))
+    return out, ends
+
+
+def shortest_path(arcs: DataFrame, finals: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+    """The arcs of a way of least weight (then fewest arcs) from ``starts`` (graph, state) to a final state, one way a graph; weights aren't negative."""
+    from talkweave.sources import shared
+
+    best = shared.materialise(starts.select("graph", "state").distinct().withColumns({"d": F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("hops")), "via": F.lit(None).cast("bigint")}))
+    edges = arcs.select("graph", F.col("src").alias("state"), "dst", "weight", "seq")
+    front = best
+    for _ in range(most):
+        reached = F.struct((F.col("d.w") + F.col("weight")).alias("w"), (F.col("d.hops") + 1).alias("hops"))
+        step = front.join(edges, ["graph", "state"]).groupBy("graph", F.col("dst").alias("state")).agg(F.min(F.struct(reached.alias("d"), F.col("seq").alias("via"))).alias("x")).select("graph", "state", F.col("x.d").alias("new"), "x.via")
+        front = shared.materialise(step.join(best.select("graph", "state", "d"), ["graph", "state"], "left").where("d is null or new < d").select("graph", "state", F.col("new").alias("d"), "via"))
+        if not front.take(1):
+            break
+        best = shared.materialise(best.join(front, ["graph", "state"], "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"no end after {most} rounds")
+    end = finals.join(best, ["graph", "state"]).groupBy("graph").agg(F.min(F.struct((F.col("d.w") + F.col("weight")).alias("w"), F.col("d.hops").alias("h"), "state")).alias("x"))
+    at, out = shared.materialise(end.select("graph", "x.state")), None
+    for _ in range(most):
+        arc = arcs.join(at.join(best, ["graph", "state"]).where("via is not null").select("graph", F.col("state").alias("dst"), F.col("via").alias("seq")), ["graph", "dst", "seq"]).select(*arcs.columns)
+        arc = shared.materialise(arc)
+        out = arc if out is None else out.unionByName(arc)
+        at = arc.select("graph", F.col("src").alias("state"))
+        if not at.take(1):
+            return out
+    raise RuntimeError(f"no end after {most} rounds")

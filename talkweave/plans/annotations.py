@@ -282,4 +282,48 @@ Q["fst_compose"] = composed
 S["fst_compose"] = f"""WITH RECURSIVE {ARCS}, reach AS (SELECT DISTINCT graph, src AS s FROM arcs WHERE src = 1 UNION SELECT r.graph, a.dst FROM reach r JOIN arcs a ON r.graph = a.graph AND r.s = a.src)
 SELECT a.graph, src AS s1, dst AS d1, ilabel, 'x' || (CAST(olabel[2:] AS INT) % 2) AS olabel, weight + 0.5::DOUBLE AS weight FROM arcs a JOIN reach r ON a.graph = r.graph AND a.src = r.s"""
 
+
+def _gapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Arcs of which every fifth part is silent, and finals: the last state of each graph."""
+    arcs, finals = _arcs(spark, sf_dir)
+    silent = F.col("weight").cast("int") == 3
+    return arcs.withColumns({c: F.when(silent, F.lit("<eps>")).otherwise(F.col(c)) for c in ("ilabel", "olabel")}), finals
+
+
+GAPPED = f"""{ARCS}, gapped AS (SELECT * REPLACE (CASE WHEN weight = 3 THEN '<eps>' ELSE ilabel END AS ilabel, CASE WHEN weight = 3 THEN '<eps>' ELSE olabel END AS olabel) FROM arcs),
+states AS (SELECT graph, src AS s FROM arcs UNION SELECT graph, dst FROM arcs), silent AS (SELECT graph, s AS p, s AS q, 0.0::DOUBLE AS d FROM states UNION SELECT r.graph, p, dst, d + weight FROM silent r JOIN gapped g ON r.graph = g.graph AND r.q = g.src AND g.olabel = '<eps>')"""
+Q["fst_remove_epsilon"] = lambda spark, d: graph.remove_epsilon(*_gapped(spark, d))[0].drop("seq")
+S["fst_remove_epsilon"] = f"WITH RECURSIVE {GAPPED} SELECT r.graph, p AS src, dst, ilabel, olabel, min(d + weight) AS weight FROM silent r JOIN gapped g ON r.graph = g.graph AND r.q = g.src AND olabel <> '<eps>' GROUP BY ALL"
+Q["fst_remove_epsilon_finals"] = lambda spark, d: graph.remove_epsilon(*_gapped(spark, d))[1]
+S["fst_remove_epsilon_finals"] = f"WITH RECURSIVE {GAPPED} SELECT r.graph, p AS state, min(d) AS weight FROM silent r JOIN (SELECT graph, max(dst) AS m FROM arcs GROUP BY graph) f ON r.graph = f.graph AND q = m GROUP BY ALL"
+Q["fst_topsort"] = lambda spark, d: graph.topsort(_arcs(spark, d)[0])
+S["fst_topsort"] = f"""WITH {ARCS}, states AS (SELECT graph, src AS s FROM arcs UNION SELECT graph, dst FROM arcs), into_ AS (SELECT DISTINCT graph, dst FROM arcs),
+chains AS (SELECT s.graph, s, max(CASE WHEN i.dst IS NULL THEN s END) OVER (PARTITION BY s.graph ORDER BY s) AS root FROM states s LEFT JOIN into_ i ON s.graph = i.graph AND s.s = i.dst),
+named AS (SELECT graph, s, row_number() OVER (PARTITION BY graph ORDER BY s - root, s) - 1 AS n FROM chains)
+SELECT a.graph, seq, x.n AS src, y.n AS dst, ilabel, olabel, weight FROM arcs a JOIN named x ON a.graph = x.graph AND a.src = x.s JOIN named y ON a.graph = y.graph AND a.dst = y.s"""
+
+
+def best_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and length of the best way of each graph from its least state to its final one, where there is one."""
+    arcs, finals = _arcs(spark, sf_dir)
+    way = graph.shortest_path(arcs, finals, arcs.groupBy("graph").agg(F.min("src").alias("state")))
+    return way.groupBy("graph").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.min("src").alias("first"), F.max("dst").alias("last"))
+
+
+Q["fst_shortest_path"] = best_ways
+S["fst_shortest_path"] = f"""WITH RECURSIVE {ARCS}, d AS (SELECT graph, min(src) AS state, 0.0::DOUBLE AS c, 0 AS n FROM arcs GROUP BY graph UNION SELECT d.graph, a.dst, d.c + a.weight, n + 1 FROM d JOIN arcs a ON d.graph = a.graph AND d.state = a.src),
+e AS (SELECT graph, min(src) AS first, max(dst) AS last FROM arcs GROUP BY graph) SELECT d.graph, min(c) AS weight, CAST(min(n) AS BIGINT) AS n, first, last FROM d JOIN e ON d.graph = e.graph AND d.state = e.last GROUP BY ALL"""
+
+
+def sorted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values as JSON whose keys are in order at every depth."""
+    n = table(spark, sf_dir, "nation")
+    tree = F.struct(F.create_map(F.lit("b"), F.col("n_nationkey"), F.lit("a"), F.col("n_regionkey")).alias("z"), F.array(F.struct(F.col("n_name").alias("y"), F.lit(1).alias("x"))).alias("c"))
+    kind = n.select(tree.alias("t")).schema["t"].dataType
+    return n.select("n_nationkey", sinks.sorted_json(tree, kind).alias("json"))
+
+
+Q["sorted_json"] = sorted_documents
+S["sorted_json"] = """SELECT n_nationkey, '{"c":[{"x":1,"y":"' || n_name || '"}],"z":{"a":' || n_regionkey || ',"b":' || n_nationkey || '}}' AS json FROM nation"""
+
 QUERIES, ORACLES = Q, S

@@ -85,6 +85,9 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["context_stack"] = context
+Q["context_channels"] = lambda spark, d: ar.context_channels(_vectors(spark, d).select("label", "vec_id", F.slice("x", 1, 4).alias("x")), ["label"], "vec_id", "x", 1, 1, 2).select("label", "vec_id", F.flatten(F.flatten("stacked")).alias("stacked"))
+S["context_channels"] = f"""WITH {VECTORS}, n AS (SELECT label, vec_id, x[1:4] AS x, coalesce(lag(x[1:4]) OVER w, x[1:4]) AS a, coalesce(lead(x[1:4]) OVER w, x[1:4]) AS b FROM v WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+SELECT label, vec_id, [a[1], x[1], b[1], a[2], x[2], b[2], a[3], x[3], b[3], a[4], x[4], b[4]] AS stacked FROM n"""
 S["context_stack"] = """SELECT conv_id, turn, [coalesce(lag(turn, 2) OVER w, first(turn) OVER e), coalesce(lag(turn) OVER w, first(turn) OVER e), turn, coalesce(lead(turn) OVER w, last(turn) OVER e)] AS stacked, turn AS centre
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), e AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 
@@ -108,6 +111,16 @@ Q["axis_morph"] = axes
 S["axis_morph"] = f"WITH {VECTORS} SELECT label * 8 + CAST((i - 1) % 8 AS INT) AS ab, min(x[i]) AS v FROM v, range(1, 5000) r(i) WHERE i <= len(x) GROUP BY ALL"
 
 
+def text_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named axes by text: an axis split and reduced, and the rest flattened in another order."""
+    rows = _long(spark, sf_dir).select("label", F.pmod("vec_id", F.lit(5)).alias("A"), F.col("i").alias("B*C"), F.col("vec_id").alias("D"), F.floor(F.col("v") * 1000).alias("v"))
+    return ar.morph(rows, "A B*C D -> C*A 1", "v", "sum", B=8, C=8, A=5).withColumnRenamed("C*A", "ca")
+
+
+Q["axis_morph_text"] = text_morph
+S["axis_morph_text"] = f"""WITH {VECTORS} SELECT label, ((i - 1) % 8) * 5 + vec_id % 5 AS ca, CAST(0 AS BIGINT) AS one1, CAST(sum(floor(x[i] * 1000)) AS BIGINT) AS v FROM v, range(1, 5000) r(i) WHERE i <= len(x) GROUP BY ALL"""
+
+
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask-weighted second moments of integer vectors by label (whole numbers, so that no order of sums matters)."""
     x = F.transform("embedding", lambda v: F.floor(v * 100).cast("double"))

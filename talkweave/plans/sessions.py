@@ -9,7 +9,7 @@ from talkweave.functions import ids
 from talkweave.functions import timebase as tb
 from talkweave.operators import catalog as cat
 from talkweave.operators import sessions as ss
-from talkweave.sources import shared, text
+from talkweave.sources import shared, sinks, text
 
 from .annotations import ORACLES as ANNOTATED
 from .annotations import QUERIES as ANNOTATIONS
@@ -261,13 +261,32 @@ def per_microphone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["crosstalk_per_microphone"] = per_microphone
-S["crosstalk_per_microphone"] = f"""WITH {TURNS}, p AS (SELECT * FROM clocks WHERE kind = 'P' AND speaker IS NOT NULL),
+MET = f"""{TURNS}, p AS (SELECT * FROM clocks WHERE kind = 'P' AND speaker IS NOT NULL),
 met AS (SELECT a.session_id, a.speaker AS active, a.pos, b.speaker AS second, b.pos AS second_pos, a."start" > b."start" AS later, a."end" < b."end" AS sooner FROM p a JOIN p b ON a.session_id = b.session_id AND a.mic = a.speaker AND b.mic = a.speaker AND b.speaker <> a.speaker
-  AND a."start" <= b."end" AND a."end" >= b."start")
-SELECT m.session_id, m.active, m.pos, m.second, m.second_pos, x.mic, CASE WHEN later THEN x."start" ELSE y."start" END AS "start", CASE WHEN sooner THEN x."end" ELSE y."end" END AS "end"
+  AND a."start" <= b."end" AND a."end" >= b."start")"""
+S["crosstalk_per_microphone"] = f"""WITH {MET} SELECT m.session_id, m.active, m.pos, m.second, m.second_pos, x.mic, CASE WHEN later THEN x."start" ELSE y."start" END AS "start", CASE WHEN sooner THEN x."end" ELSE y."end" END AS "end"
 FROM met m JOIN p x ON x.session_id = m.session_id AND x.pos = m.pos JOIN p y ON y.session_id = m.session_id AND y.pos = m.second_pos AND y.mic = x.mic"""
 
 
+def speaker_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers' activity and cross-talk written as a JSON file a session and read again: intervals by name and microphone."""
+    turns = _clocks(_turns(spark, sf_dir))
+    worn = lambda c: F.map_filter(c, lambda k, _: k.startswith("P"))
+    own = tb.speaker_times(turns.select(F.col("session_id").alias("session"), "speaker", worn("start_time").alias("start"), worn("end_time").alias("end")))
+    path = shared.path(spark, "speakers")
+    sinks.write_speaker_activity(own, per_microphone(spark, sf_dir).withColumnRenamed("session_id", "session").select("session", "mic", "start", "end"), path)
+    got = spark.read.option("wholetext", True).schema("value string, session string").text(path)
+    long = got.select("session", F.explode(F.from_json("value", "map<string,map<string,struct<start:array<bigint>,end:array<bigint>>>>", {"mode": "FAILFAST"})).alias("name", "_m"))
+    long = long.select("session", "name", F.explode("_m").alias("mic", "_t"))
+    return long.select("session", "name", "mic", F.explode(F.arrays_zip("_t.start", "_t.end")).alias("x")).select("session", "name", "mic", "x.start", "x.end")
+
+
+Q["speaker_activity_files"] = speaker_documents
+S["speaker_activity_files"] = f"""WITH {MET} SELECT session_id AS session, speaker AS name, mic, "start", "end" FROM p
+UNION ALL SELECT session_id, 'cross_talk', mic, "start", "end" FROM (SELECT m.session_id, m.active, m.pos, m.second, m.second_pos, x.mic, CASE WHEN later THEN x."start" ELSE y."start" END AS "start", CASE WHEN sooner THEN x."end" ELSE y."end" END AS "end"
+FROM met m JOIN p x ON x.session_id = m.session_id AND x.pos = m.pos JOIN p y ON y.session_id = m.session_id AND y.pos = m.second_pos AND y.mic = x.mic)"""
+
+
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone alignments of two channels, the right one preferred, ids as symbols, and which frames aren't silent."""
     t = _turns(spark, sf_dir).where("speaker is not null")

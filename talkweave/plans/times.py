@@ -142,4 +142,19 @@ Q["tree_map"] = tree_map
 S["tree_map"] = f"""WITH {CLOCKS}, g AS (SELECT utt, list("start" + "end" ORDER BY mic) FILTER (mic LIKE 'U%') AS sums, list(o ORDER BY mic) FILTER (mic LIKE 'U%') AS origins, list("start" * 2 ORDER BY mic) FILTER (mic LIKE 'U%') AS doubles FROM clocks GROUP BY utt)
 SELECT utt, coalesce(sums, []) AS sums, coalesce(origins, []) AS origins, coalesce(doubles, []) AS doubles, [utt] AS listed FROM g"""
 
+
+def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level trees: mapped, combined leaf by leaf, and a shallow tree spread over a deep one."""
+    c = clocks(spark, sf_dir)
+    kind = c.schema["start"].dataType
+    shallow = F.struct(F.lit(1).alias("observation"), F.lit(2).alias("worn"), F.lit(3).alias("original"))
+    spread = nested.broadcast_tree(shallow, c.select(shallow.alias("x")).schema["x"].dataType, F.col("start"), kind)
+    got = c.select("utt", nested.map_tree(F.col("start"), kind, lambda v: v * 2).alias("doubled"), nested.map_trees(F.col("start"), F.col("end"), kind, lambda a, b: a + b).alias("total"), spread.alias("spread"))
+    return leaves(got, "doubled", "total", "spread")
+
+
+Q["tree_map_deep"] = deep_trees
+S["tree_map_deep"] = f"""WITH {CLOCKS} SELECT utt, mic, 2 * "start" AS doubled, "start" + "end" AS total, CASE WHEN mic LIKE 'U%' THEN 1 ELSE 2 END AS spread FROM clocks
+UNION ALL SELECT DISTINCT utt, 'original', 2 * o, 2 * o + od, 3 FROM clocks"""
+
 QUERIES, ORACLES = Q, S

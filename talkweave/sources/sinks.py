@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talkweave.functions import nested
 
 from talkweave.operators import catalog
 
 
-def sorted_json(value: Column, kind: str | None = None) -> Column:
-    """JSON text; maps inside keep their order, so sort them before with ``sorted_map``."""
-    return F.to_json(value)
+def sorted_json(value: Column, kind: T.DataType, indent: bool = False) -> Column:
+    """JSON text with keys in order at every depth, on one line or indented; ``kind`` is the value's type."""
+    return F.to_json(nested.sorted_tree(value, kind), {"pretty": str(indent).lower()})
 
 
 def sorted_map(tree: Column) -> Column:
@@ -55,6 +58,27 @@ def activity_json(df: DataFrame) -> DataFrame:
     return per.groupBy("session", "speaker").agg(F.to_json(entries).alias("json"))
 
 
+def speaker_activity(rows: DataFrame, cross: DataFrame) -> DataFrame:
+    """(session, json): of each session the speakers' intervals by microphone and, under ``cross_talk``, those of ``cross`` by microphone.
+
+    ``rows``: (session, speaker, mic, start, end), ``cross``: (session, mic, start, end).
+    """
+    own = activity_json(rows).select("session", F.struct(F.lit(0).alias("k"), F.col("speaker").alias("name"), "json").alias("x"))
+    both = activity_json(cross.select("session", F.lit("cross_talk").alias("speaker"), "mic", "start", "end")).select("session", F.struct(F.lit(1).alias("k"), F.col("speaker").alias("name"), "json").alias("x"))
+    parts = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.concat(F.lit('"'), x["name"], F.lit('":'), x["json"]))
+    return own.unionByName(both).groupBy("session").agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("json"))
+
+
+def write_speaker_activity(rows: DataFrame, cross: DataFrame, path: str) -> None:
+    """A JSON file a session (partitioned by it), see ``speaker_activity``."""
+    speaker_activity(rows, cross).repartition("session").write.partitionBy("session").text(path)
+
+
+def read_activity(spark: SparkSession, path: str, schema: str = "speaker string, start bigint, end bigint, session string") -> DataFrame:
+    """The interval table that ``write_activity`` wrote; a filter on ``session`` reads that session's files alone."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def summary(value: Column) -> Column:
     """The shape of an array instead of its items."""
     return F.concat(F.lit("array("), F.size(value).cast("string"), F.lit(")"))
