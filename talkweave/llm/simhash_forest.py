@@ -15,7 +15,10 @@ depth that follows the number of points (``log2`` of it less ``SPARE``, at least
 that at most ``DENSE`` points share, so in sparse regions near copies meet though they
 differ in bits of the bottom prefix; only a sub-trie that is denser already at the
 bottom stays there.  A task holds the points of a trie that share the few first bits
-(some ``REGION`` points), where the climb ends.  A sparse sub-trie is compared all with all.  In a dense one
+(some ``REGION`` points), where the climb ends.  Points may crowd in a region, as near copies
+of one text do: with more than ``CROWD`` of them they are dealt into chunks by their ids, and each
+pair of chunks is a task of its own.  There every two points meet as in the whole region (a chunk
+is less dense, so it climbs as high or higher), and no task has more than some twice ``CROWD`` points.  A sparse sub-trie is compared all with all.  In a dense one
 every component floods the sub-trie: it takes out whatever it reaches, so a
 tight family of any size costs one pass, the components are exact within the
 sub-trie, and the edges emitted are a spanning forest and not all pairs.  Every
@@ -45,7 +48,7 @@ from .components import components
 BITS = 256
 LANES = BITS // 64
 SPARE, LEAST_DEPTH = 2, 16
-DENSE, REGION = 48, 1 << 14
+DENSE, REGION, CROWD = 48, 1 << 14, 1 << 20
 RADIUS, RECALL, RATIO = 40, 0.93, 0.6
 SEED = 20240229
 
@@ -161,22 +164,48 @@ def subtrie_edges(path: np.ndarray, sig: np.ndarray, n: np.ndarray, key: np.ndar
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+def near_edges(points: DataFrame, count: int, radius: int = RADIUS, ratio: float = RATIO, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between the points (doc_id, n_words, s0 ..) whose components are the groups."""
     depth, tries = plan(count, radius=radius)
     top = min(depth, max(0, math.ceil(math.log2(max(count, 1) / REGION))))
     where = permutations(tries)
     names = ["doc_id", "n_words", *(f"s{k}" for k in range(LANES))]
 
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Part (trie and region) and path of each point in each trie."""
+        sig = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(LANES)], 1)
+        bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+        for t in range(tries):
+            path = np.ascontiguousarray(np.packbits(bits[:, where[t]], axis=1)).view(">u8")[:, 0].astype(np.uint64)
+            region = path >> np.uint64(64 - top) if top else np.zeros_like(path)
+            yield kernel.mix(region * np.uint64(tries) + np.uint64(t)).view(np.int64), path
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, n = np.unique(np.concatenate([p for p, _ in placed(batch)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n)], ["part", "n"])
+
+    crowded: list = []
+    if count > crowd:  # with fewer points no region has more; the driver receives count * tries / crowd rows at most
+        crowded = points.select(*names).mapInArrow(counts, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).collect()
+    full = np.array(sorted(r.part for r in crowded), np.int64)
+    chunks = np.array([-(-r.n // crowd) for r in sorted(crowded, key=lambda r: r.part)], np.int64)
+
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(LANES)], 1)
-            bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
-            for t in range(tries):
-                path = np.ascontiguousarray(np.packbits(bits[:, where[t]], axis=1)).view(">u8")[:, 0].astype(np.uint64)
-                region = path >> np.uint64(64 - top) if top else np.zeros_like(path)
-                part = kernel.mix(region * np.uint64(tries) + np.uint64(t)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(path.view(np.int64)), *batch.columns], ["part", "path", *names])
+            salt = (kernel.mix(np.asarray(batch.column(0)).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            for part, path in placed(batch):
+                if len(full):
+                    at = np.minimum(np.searchsorted(full, part), len(full) - 1)
+                    g = np.where(full[at] == part, chunks[at], 1)
+                    row = np.repeat(np.arange(len(part)), g)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
+                    own, g = salt[row] % g[row], g[row]
+                    pair = np.minimum(own, other) * g + np.maximum(own, other)
+                    part = np.where(g > 1, kernel.mix(part[row].view(np.uint64) + kernel.mix((pair + 1).astype(np.uint64))).view(np.int64), part[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(path[row].view(np.int64)), *(c.take(pa.array(row)) for c in batch.columns)], ["part", "path", *names])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(path.view(np.int64)), *batch.columns], ["part", "path", *names])
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the last part, which may go on
