@@ -158,6 +158,20 @@ def test_simhash_dense_groups():
     assert got == brute and len(a) < 800
 
 
+@pytest.mark.parametrize("crowd", [100, 350])
+def test_crowded_regions(spark, crowd):
+    """Near copies of one text, a third of all points and crowded in one region of most tries, dealt into chunks: the same groups."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (1200, simhash_forest.BITS)).astype(np.uint8)
+    bits[:400] = bits[0]
+    for r in range(1, 400):
+        bits[r, rng.choice(simhash_forest.BITS, rng.integers(0, 14), replace=False)] ^= 1
+    lanes = np.packbits(bits, axis=1).view(np.int64).tolist()
+    points = spark.createDataFrame([(i, 50, *x) for i, x in enumerate(lanes)], "doc_id bigint, n_words bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    groups = [roots((r.a, r.b) for r in simhash_forest.near_edges(points, len(lanes), crowd=c).collect()) for c in (crowd, 1 << 20)]
+    assert groups[0] == groups[1] and sum(v == 0 for v in groups[0].values()) == 400
+
+
 def test_near_copies_go_and_others_stay(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
