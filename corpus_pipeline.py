@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talkweave.llm import bloom_dedup, bpe, common, langid, mixing, simhash_forest
+from talkweave.sources import shared
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token sequences of the documents that stay; what a stage wrote for itself goes when the next one's input is written."""
     docs = common.table(spark, sf_dir, "documents")
+    since = shared.mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialise(docs)
+            at = shared.path(spark, "stage")
+            docs = shared.materialise(docs, at)
+            shared.release(spark, since, at)
     return docs
