@@ -55,8 +55,8 @@ def _one_thread() -> None:
         os.environ.setdefault(name, "1")
 
 
-def interleave(x: np.ndarray) -> list[float]:
-    return np.ascontiguousarray(x).view(np.float64).reshape(-1).tolist()
+def interleave(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, np.complex128).view(np.float64).reshape(-1)
 
 
 def complex_of(x: list[float], *shape: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def masks(spectrum: DataFrame, activity: DataFrame, classes: DataFrame, config:
                     for span in c["spans"] if c["spans"] is not None else ():
                         on[k, span["start"] : span["end"]] = 1
                 m = signal.guided_masks(complex_of(s, d, t), on, config.em_iterations, config.em_iterations_post)
-                rows.append((utt, f, len(found), t, m.reshape(-1).tolist()))
+                rows.append((utt, f, len(found), t, m.reshape(-1)))
             yield pd.DataFrame(rows, columns=["utt", "f", "k", "t", "masks"])
 
     return spectrum.join(per, "utt").select("utt", "f", "d", "t", "spectrum", "classes").mapInPandas(run, "utt string, f int, k int, t int, masks array<double>")
@@ -142,7 +142,7 @@ def enhance(channels: DataFrame, activity: DataFrame, classes: DataFrame, target
         first, last = (frame(lo), (lo + n + pad - 1) // config.stft_shift + 1) if config.drop_context else (0, None)
         target, noise = signal.pair_masks(m, int(r["class_idx"]), first, last)
         out = signal.istft(signal.beamform(y, target, noise, config.beamformer, config.postfilter), config.stft_size, config.stft_shift, config.stft_fading, int(r["n_samples"]))
-        return pd.DataFrame({"utt": [r["utt"]], "samples": [(out[lo : lo + n] if config.drop_context else out).tolist()]})
+        return pd.DataFrame({"utt": [r["utt"]], "samples": [np.ascontiguousarray(out[lo : lo + n] if config.drop_context else out)]})
 
     return both.groupBy("utt").applyInPandas(one, "utt string, samples array<double>")
 

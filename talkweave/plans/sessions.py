@@ -110,12 +110,9 @@ SELECT example_id, session_id, speaker AS speaker_id, CASE speaker WHEN 'P02' TH
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
     """A row for each clock of the multi-clock columns."""
-    out = None
-    for b in tb.BRANCHES:
-        part = df.select("example_id", F.explode(f"{columns[0]}.{b}").alias("mic", columns[0]), *(F.col(f"{c}.{b}").alias(f"_{c}") for c in columns[1:]))
-        part = part.select("example_id", "mic", columns[0], *(F.element_at(f"_{c}", F.col("mic")).alias(c) for c in columns[1:]))
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(df.select("example_id", F.lit("original").alias("mic"), *(F.col(f"{c}.original").alias(c) for c in columns)))
+    flat = lambda c: F.map_concat(f"{c}.observation", f"{c}.worn", F.create_map(F.lit("original"), F.col(f"{c}.original")))
+    rows = df.select("example_id", F.explode(flat(columns[0])).alias("mic", columns[0]), *(flat(c).alias(f"_{c}") for c in columns[1:]))
+    return rows.select("example_id", "mic", columns[0], *(F.element_at(f"_{c}", F.col("mic")).alias(c) for c in columns[1:]))
 
 
 Q["create_database_clocks"] = lambda spark, d: _long(_examples(spark, d), "start", "end", "num_samples")
