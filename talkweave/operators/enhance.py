@@ -149,18 +149,23 @@ def enhance(channels: DataFrame, activity: DataFrame, classes: DataFrame, target
 
 def enhance_sessions(
     of: catalog.Catalog, sessions: str | Sequence[str], files: DataFrame, arrays: DataFrame, speakers: DataFrame, lengths: DataFrame, config: Config = Config(),
-    reference: str | None = None, alignment: DataFrame | None = None,
+    reference: str | None = None, alignment: DataFrame | None = None, active: DataFrame | None = None,
 ) -> DataFrame:
     """(utt, samples) of every example of the sessions, from the catalog and wav files (path, content) on.
 
     Rows are prepared with adjusted times and ``config.context_samples`` of context, channels are those that
     ``config.multiarray`` chooses, and the activity is that on the clock of each row's reference array (or ``reference``)
-    with ``config.noise_class``. Dimensions as in ``sessions``.
+    with ``config.noise_class``. Dimensions as in ``sessions``. Rows on a single clock aren't adjusted, ``arrays`` and
+    ``lengths`` count for nothing with them, and diarised ones (without transcription) need ``active``.
     """
-    rows = ss.session_rows(of, sessions, drop_unknown=True, adjust_times=True, context_samples=config.context_samples)
-    heard = ss.session_audio(rows, files).withColumnRenamed("example_id", "utt")
     every = of.get_datasets(sessions)
-    active = ss.activity(every, ss.perspectives("array", every, arrays), lengths, config.noise_class, alignment)
+    multi, told = dict(every.dtypes)["start"].startswith("struct"), "transcription" in every.columns
+    rows = ss.session_rows(of, sessions, drop_unknown=told, adjust_times=multi, context_samples=config.context_samples)
+    heard = ss.session_audio(rows, files).withColumnRenamed("example_id", "utt")
+    if active is None and multi:
+        active = ss.activity(every, ss.perspectives("array", every, arrays), lengths, config.noise_class, alignment)
+    elif active is None:
+        active = ss.single_clock_activity(every, config.noise_class)
     return enhance(*ss.prepared(rows, heard, active, speakers, config.noise_class, config.multiarray, reference), config)
 
 

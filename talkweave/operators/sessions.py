@@ -247,12 +247,16 @@ def prepared(rows: DataFrame, channels: DataFrame, active: DataFrame, speakers:
     """What ``enhance.enhance`` takes: channels, activity, classes and targets of every example of ``rows``.
 
     ``active`` is the activity of the reference arrays' clocks (see ``activity``); ``rows`` come from ``session_rows``
-    and have ``reference_array`` unless ``reference`` names one for all. A row without either raises.
+    and have ``reference_array`` unless ``reference`` names one for all. A row without either raises. Rows on a single
+    clock have one unit, ``U``, whose activity is the session's (see ``single_clock_activity``).
     """
-    unit = F.lit(reference) if reference else F.col("reference_array")
+    if dict(rows.dtypes)["start"].startswith("struct"):
+        unit = F.lit(reference) if reference else F.col("reference_array")
+        of = lambda c: F.element_at(f"{c}.observation", F.col("reference_array"))
+    else:
+        unit, of, active = F.lit("U"), F.col, active.withColumn("perspective", F.lit("U"))
     rows = rows.withColumn("reference_array", unit)
     rows = catalog.gate(rows, F.col("reference_array").isNull(), "a row has no reference_array").withColumnRenamed("example_id", "utt")
-    of = lambda c: F.element_at(f"{c}.observation", F.col("reference_array"))
     kept = "start_orig" in rows.columns
     window = rows.select("session_id", F.col("reference_array").alias("perspective"), "utt", of("start").alias("start"), of("end").alias("end"))
     inside = overlap.window_slice(active.select("session_id", "perspective", "speaker_id", "start", "end"), window, ["session_id", "perspective"], width)
@@ -263,6 +267,19 @@ def prepared(rows: DataFrame, channels: DataFrame, active: DataFrame, speakers:
     return chosen_channels(channels, rows, multiarray), found.select("utt", "class_idx", "start", "end"), every.select("utt", "class_idx"), target
 
 
+def active_speakers(active: DataFrame, cross: DataFrame, windows: DataFrame, width: int = overlap.HOUR_US) -> DataFrame:
+    """What is said and what is cross-talk on a microphone within windows, counted from their starts: (.., window_id, kind, speaker_id, start, end).
+
+    ``active``: (session_id, mic, speaker_id, start, end), ``cross``: (session_id, mic, start, end), whose speaker is the
+    microphone's, ``windows``: (session_id, mic, window_id, start, end). Touching or overlapping parts are united.
+    """
+    keys = ["session_id", "mic"]
+    both = active.select(*keys, F.lit("activity").alias("kind"), "speaker_id", "start", "end").unionByName(cross.select(*keys, F.lit("cross_talk").alias("kind"), F.col("mic").alias("speaker_id"), "start", "end"))
+    met = overlap.window_slice(both, windows, keys, width)
+    rows = met.select(*keys, "window_id", F.col("kind_r").alias("kind"), F.col("speaker_id_r").alias("speaker_id"), "start", "end")
+    return iv.normalise(rows, [*keys, "window_id", "kind", "speaker_id"])
+
+
 def cross_talk_per_mic(rows: DataFrame, width: int = overlap.HOUR_US) -> DataFrame:
     """(session_id, active, pos, second, second_pos, mic, start, end): overlaps of two speakers on every worn microphone's clock.
 

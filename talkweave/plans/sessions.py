@@ -265,6 +265,20 @@ S["crosstalk_per_microphone"] = f"""WITH {MET} SELECT m.session_id, m.active, m.
 FROM met m JOIN p x ON x.session_id = m.session_id AND x.pos = m.pos JOIN p y ON y.session_id = m.session_id AND y.pos = m.second_pos AND y.mic = x.mic"""
 
 
+def heard_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said and what is cross-talk on each worn microphone in windows of 30000 samples."""
+    turns = _clocks(_turns(spark, sf_dir))
+    worn = lambda c: F.map_filter(c, lambda k, _: k.startswith("P"))
+    own = tb.speaker_times(turns.select(F.col("session_id").alias("session"), "speaker", worn("start_time").alias("start"), worn("end_time").alias("end")))
+    own = own.withColumnsRenamed({"session": "session_id", "speaker": "speaker_id"})
+    low = F.col("window_id") * 30000
+    windows = own.select("session_id", "mic").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("window_id")).withColumns({"start": low, "end": low + 30000})
+    return ss.active_speakers(own, per_microphone(spark, sf_dir), windows, 1 << 17)
+
+
+Q["active_speakers"] = heard_in_windows
+
+
 def speaker_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers' activity and cross-talk written as a JSON file a session and read again: intervals by name and microphone."""
     turns = _clocks(_turns(spark, sf_dir))
@@ -297,6 +311,10 @@ def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("phones", F.array_join("phones", " ")).join(active, "example_id")
 
 
+S["active_speakers"] = S["speaker_activity_files"].replace("SELECT session_id AS session, speaker AS name, mic", ", said AS (SELECT session_id, 'activity' AS kind, speaker AS speaker_id, mic", 1).replace(
+    "UNION ALL SELECT session_id, 'cross_talk', mic", "UNION ALL SELECT session_id, 'cross_talk', mic, mic", 1
+) + f"""), cut AS (SELECT session_id, mic, w AS window_id, kind, speaker_id, greatest("start", w * 30000) - w * 30000 AS "start", least("end", w * 30000 + 30000) - w * 30000 AS "end" FROM said, range(10) r(w)),
+{merged_sql('session_id, mic, window_id, kind, speaker_id', 'cut')} SELECT * FROM merged"""
 Q["phone_alignment"] = phones
 S["phone_alignment"] = f"""WITH {TURNS}, t AS (SELECT *, speaker || '_' || session_id || '_' AS head, lpad(CAST(s // 160 AS VARCHAR), CAST(greatest(length(CAST(s // 160 AS VARCHAR)), 7) AS INT), '0') || '-' || lpad(CAST(e // 160 AS VARCHAR), CAST(greatest(length(CAST(e // 160 AS VARCHAR)), 7) AS INT), '0') AS times,
   list_transform(range(pos % 6 + 1), lambda i: (i + pos) % 4) AS x FROM turns WHERE speaker IS NOT NULL), p AS (SELECT *, CASE WHEN pos % 2 = 0 THEN list_reverse(x) ELSE x END AS y FROM t)

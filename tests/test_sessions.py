@@ -141,3 +141,28 @@ def test_enhanced_sessions(spark, multiarray):
         own = 1 if i == 0 else 0
         want = signal.istft(signal.beamform(y, m[own], np.delete(m, own, 0).sum(0)), 128, 32, True, x.shape[1])[lo - begin : hi - begin]
         assert len(got[name]) == hi - lo and np.allclose(got[name], want, atol=1e-6)
+
+
+def test_enhanced_single_clock_sessions(spark):
+    """Rows on one clock, with transcription and diarised ones with their own activity, give what the chain gives by hand."""
+    rng = np.random.default_rng(2)
+    wave = [rng.normal(size=9000) * 0.1 for _ in range(3)]
+    content = spark.createDataFrame([(f"{k}.wav", bytearray(audio.write(x, kind="float64"))) for k, x in enumerate(wave)], "path string, content binary")
+    rows = spark.createDataFrame(
+        [("a", "S01", "S01", "P01", "x", 1000, 4000, 3000, ["0.wav", "1.wav", "2.wav"]), ("b", "S01", "S01", "P02", "y", 3500, 7000, 3500, ["0.wav", "1.wav", "2.wav"]), ("c", "S01", "S01", None, "[redacted]", 0, 10, 10, ["0.wav"])],
+        "example_id string, dataset string, session_id string, speaker_id string, transcription string, start bigint, end bigint, num_samples bigint, audio_path array<string>",
+    )
+    speakers = spark.createDataFrame([("S01", "P01"), ("S01", "P02")], "session_id string, speaker_id string")
+    config = enhance.Config(context_samples=500, stft_size=128, stft_shift=32, wpe=False, em_iterations=3)
+    got = {r.utt: np.array(r.samples) for r in enhance.enhance_sessions(catalog.Catalog(rows), "S01", content, None, speakers, None, config).collect()}
+    plain = rows.where("speaker_id is not null").drop("transcription")
+    active = sessions.single_clock_activity(rows, True)
+    again = {r.utt: np.array(r.samples) for r in enhance.enhance_sessions(catalog.Catalog(plain), "S01", content, None, speakers, None, config, active=active).collect()}
+    assert sorted(got) == sorted(again) == ["a", "b"] and all(np.array_equal(got[k], again[k]) for k in got)
+    lo, hi = 500, 4500
+    y = signal.stft(np.stack(wave)[:, lo:hi], 128, 32)
+    on = np.array([[float(a - lo < f * 32 - 96 + 128 and f * 32 - 96 < min(b, hi) - lo) for f in range(y.shape[1])] for a, b in ((1000, 4000), (3500, 7000), (0, 10**9))])
+    m = np.stack([signal.guided_masks(y[..., f], on, 3, 1) for f in range(y.shape[-1])], -1)
+    m[:, [f for f in range(y.shape[1]) if not (f * 32 - 96 + 128 > 500 and f * 32 - 96 < 3500)]] = 0
+    want = signal.istft(signal.beamform(y, m[0], m[1] + m[2]), 128, 32, True, hi - lo)[500:3500]
+    assert len(got["a"]) == 3000 and np.allclose(got["a"], want, atol=1e-6)
