@@ -92,7 +92,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def groups(column: pa.Array, target: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def groups(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cuts rows into runs of about ``target`` bytes (one row at least)."""
     size = len(column)
     if not size:

@@ -272,7 +272,7 @@ def predict(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFr
 
     def judged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         m, best, sure = shared.value, [], []
-        for lo, hi in kernel.groups(column):
+        for lo, hi in kernel.groups(column, 1 << 18):
             b, s = m.score(column.slice(lo, hi - lo))
             best.append(b)
             sure.append(s)
