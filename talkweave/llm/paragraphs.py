@@ -351,7 +351,7 @@ def parts_of(docs: DataFrame, bands: int) -> int:
     """So many parts that each holds some ``PART_BYTES`` of keys: there is one for some 70 bytes of text."""
     size = _texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(1, least, size // 70 * bands * 20 // PART_BYTES), 1 << 15)
+    return min(max(1, least, size // 70 * bands * 20 // PART_BYTES), 1 << 20)
 
 
 def left_over(rest: DataFrame, near: DataFrame, jaccard: float = JACCARD) -> DataFrame:
