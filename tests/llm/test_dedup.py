@@ -73,6 +73,23 @@ def test_filter_in_slices(spark):
         assert (got.words == want.words).all() and got.holds(h.view(np.uint64)).all()
 
 
+def plain_signature(text):
+    """The signature a bit at a time: the sign of the sum of the words' hash vectors, each distinct word once."""
+    words, bits = {kernel.hash_word(w) for w in kernel.split_words(text)}, []
+    for lane in range(simhash_forest.LANES):
+        hashes = [kernel.mix_one((h + (lane + 1) * kernel.MULT) & (1 << 64) - 1).to_bytes(8, "little") for h in words]
+        bits += [sum(1 if h[i // 8] >> (7 - i % 8) & 1 else -1 for h in hashes) > 0 for i in range(64)]
+    return bits
+
+
+def test_signatures_by_loops():
+    texts = ["one two three", "", None, "One two, three THREE two", " ".join(f"w{i}" for i in range(20_000)), "été 你好 x"]
+    sig, n = simhash_forest.signatures(pa.array(texts))
+    for s, k, t in zip(sig, n, texts):
+        assert np.unpackbits(np.ascontiguousarray(s).view(np.uint8)).astype(bool).tolist() == plain_signature(t or "")
+        assert k == len(kernel.split_words(t))
+
+
 def brute_groups(docs):
     sig, n = simhash_forest.signatures(pa.array([t for _, t in docs]))
     ids = [i for i, _ in docs]
