@@ -92,10 +92,17 @@ def flag_extremes(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_is_{e}": F.col(c) == ends[c][at] for e, at in (("min", "lo"), ("max", "hi")) for c in columns})
 
 
+def score_sweep(logs: DataFrame, scores: DataFrame, least: int = 8, most: int = 18) -> DataFrame:
+    """A row for each of ``logs`` (log) and weight from ``least`` to ``most``: its scores (log, weight, wer, ..), null where there are none."""
+    weights = F.explode(F.sequence(F.lit(least).cast("bigint"), F.lit(most).cast("bigint")))
+    every = logs.select("log").distinct().select("log", weights.alias("weight"))
+    return every.join(scores.withColumn("weight", F.col("weight").cast("bigint")), ["log", "weight"], "left")
+
+
 def best_score(scores: DataFrame) -> DataFrame:
-    """The row of least word error rate (ties: least weight)."""
+    """The row of least word error rate (ties: least weight); rows without a score don't count."""
     cols = [c for c in scores.columns]
-    return scores.agg(F.min_by(F.struct(*cols), F.struct(F.col("wer"), F.col("weight"))).alias("r")).select("r.*")
+    return scores.where("wer is not null").agg(F.min_by(F.struct(*cols), F.struct(F.col("wer"), F.col("weight"))).alias("r")).select("r.*")
 
 
 def missing_annotations(utts: DataFrame, annotated: DataFrame) -> DataFrame:

@@ -210,14 +210,18 @@ def session_rows(
     return df
 
 
-def session_audio(rows: DataFrame, files: DataFrame) -> DataFrame:
+def session_audio(rows: DataFrame, files: DataFrame, branch: str = "observation", units: Sequence[str] | None = None) -> DataFrame:
     """(example_id, unit, channel, samples) of the arrays' files (``files``: path, content), each on its own clock between start and end.
 
-    Multi-clock rows have ``audio_path`` by branch; single-clock ones a list of paths and the unit ``U``.
+    Multi-clock rows have ``audio_path`` by branch, of which ``branch`` is read, or of that only ``units``; single-clock
+    ones have a list of paths and the unit ``U``.
     """
     if dict(rows.dtypes)["start"].startswith("struct"):
-        long = rows.select("example_id", F.explode("audio_path.observation").alias("unit", "_p"), "start", "end")
-        long = long.select("example_id", "unit", F.posexplode("_p").alias("_k", "path"), F.element_at("start.observation", F.col("unit")).alias("start"), F.element_at("end.observation", F.col("unit")).alias("end"))
+        paths = F.col(f"audio_path.{branch}")
+        paths = paths if branch == "observation" else F.transform_values(paths, lambda _, p: F.array(p))
+        long = rows.select("example_id", F.explode(paths).alias("unit", "_p"), "start", "end")
+        long = long if units is None else long.where(F.col("unit").isin(list(units)))
+        long = long.select("example_id", "unit", F.posexplode("_p").alias("_k", "path"), F.element_at(f"start.{branch}", F.col("unit")).alias("start"), F.element_at(f"end.{branch}", F.col("unit")).alias("end"))
     else:
         long = rows.select("example_id", F.lit("U").alias("unit"), F.posexplode("audio_path").alias("_k", "path"), "start", "end")
     got = audio.load(long.join(files, "path"), F.col("start"), F.col("end"), keep=("example_id", "unit", "_k"))

@@ -154,6 +154,8 @@ WER = """s AS (SELECT p_partkey AS log, 8 + p_partkey % 11 AS weight, CAST((p_pa
   p_partkey * 3 AS word_errors, p_partkey * 37 + 1000 AS words, p_partkey AS ins, p_partkey AS del, p_partkey AS sub FROM part)"""
 S["wer_line_parse"] = f"WITH {WER} SELECT * FROM s"
 Q["best_score"] = lambda spark, d: an.best_score(text.wer(_score_lines(spark, d)))
+Q["score_sweep"] = lambda spark, d: an.score_sweep(_score_lines(spark, d), text.wer(_score_lines(spark, d)), 7, 12)
+S["score_sweep"] = f"WITH {WER}, w AS (SELECT log, CAST(k AS BIGINT) AS weight FROM (SELECT DISTINCT log FROM s), range(7, 13) r(k)) SELECT * FROM w LEFT JOIN s USING (log, weight)"
 S["best_score"] = f"WITH {WER} SELECT * FROM s ORDER BY wer, weight LIMIT 1"
 
 

@@ -10,7 +10,7 @@ from talkweave.operators import frames as fr
 from talkweave.operators import intervals as iv
 from talkweave.operators import overlap as ov
 
-from .fixtures import ACTIVITY, activity, micros, table
+from .fixtures import ACTIVITY, activity, table
 
 DAY0 = 1704067200000000  # 2024-01-01
 DAY = 86_400_000_000

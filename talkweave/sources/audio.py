@@ -78,6 +78,15 @@ def read(content: bytes, start: int = 0, stop: int | None = None, frames: int =
     return x
 
 
+def read_raw(content: bytes, kind: str = "int16", channels: int = 1) -> np.ndarray:
+    """(channel, sample) of samples without a header, little-endian; whole numbers are scaled to [-1, 1)."""
+    if kind not in ("int8", "int16", "int32", "float32", "float64"):
+        raise ValueError(f"no sample type {kind!r}")
+    size = np.dtype(kind).itemsize * channels
+    x = np.frombuffer(content[: len(content) // size * size], np.dtype(kind).newbyteorder("<")).astype(np.float64)
+    return (x / 2.0 ** (8 * np.dtype(kind).itemsize - 1) if kind.startswith("int") else x).reshape(-1, channels).T
+
+
 def write(signal: np.ndarray, rate: int = 16000, kind: str = "int16", normalise: bool = False, start: int = 0) -> bytes:
     """A wav file of a (channel, sample) or (sample,) signal; ``normalise`` scales its peak to (2^15 - 1) / 2^15; ``start`` samples of silence come first."""
     x = np.atleast_2d(np.asarray(signal, np.float64))

@@ -166,3 +166,22 @@ def test_enhanced_single_clock_sessions(spark):
     m[:, [f for f in range(y.shape[1]) if not (f * 32 - 96 + 128 > 500 and f * 32 - 96 < 3500)]] = 0
     want = signal.istft(signal.beamform(y, m[0], m[1] + m[2]), 128, 32, True, hi - lo)[500:3500]
     assert len(got["a"]) == 3000 and np.allclose(got["a"], want, atol=1e-6)
+
+
+def test_audio_of_branches_and_units(spark):
+    first, arrays, speakers, files = one_session(spark, 1)
+    rows = sessions.examples(first, first, arrays, speakers, files)
+    wave = {u: np.round(np.random.default_rng(k).normal(size=6000) * 1000) / 2**15 for k, u in enumerate(("U01", "U02", "P01", "P02"))}
+    content = spark.createDataFrame([(f"{u}.wav", bytearray(audio.write(x))) for u, x in wave.items()], "path string, content binary")
+    late = {"U01": 100, "U02": 300, "P01": 50, "P02": 70}
+    for kwargs, want in (({}, {"U01", "U02"}), ({"branch": "worn"}, {"P01", "P02"}), ({"units": ["U02"]}, {"U02"}), ({"branch": "worn", "units": ["P01", "U01"]}, {"P01"})):
+        got = {r.unit: r.samples for r in sessions.session_audio(rows, content, **kwargs).collect()}
+        assert set(got) == want and all(np.array_equal(x, wave[u][2000 + late[u] : 5000 + late[u]]) for u, x in got.items())
+
+
+def test_raw_audio():
+    x = np.array([[0, 100, -200], [5, -32768, 32767]])
+    assert np.array_equal(audio.read_raw(x.T.astype("<i2").tobytes() + b"?", "int16", 2), x / 2**15)
+    assert np.array_equal(audio.read_raw(np.array([0.5, -2.0], "<f4").tobytes(), "float32"), [[0.5, -2.0]])
+    with pytest.raises(ValueError, match="sample type"):
+        audio.read_raw(b"", "int24")
