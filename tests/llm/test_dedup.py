@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from talkweave.llm import bloom_dedup, components, kernel, paragraphs, simhash_forest
 
