@@ -122,7 +122,7 @@ def enhance(channels: DataFrame, activity: DataFrame, classes: DataFrame, target
     """(utt, samples): the enhanced signal of every utterance.
 
     ``targets``: (utt, class_idx, context_start, num_samples): the class to keep, and what of the signal is the
-    utterance itself (for ``drop_context``).
+    utterance itself (for ``drop_context``). Where the audio ends before the utterance does, the rest is silence.
     """
     y = spectra(channels, config)
     y = dereverberate(y, config) if config.wpe else y
@@ -142,7 +142,10 @@ def enhance(channels: DataFrame, activity: DataFrame, classes: DataFrame, target
         first, last = (frame(lo), (lo + n + pad - 1) // config.stft_shift + 1) if config.drop_context else (0, None)
         target, noise = signal.pair_masks(m, int(r["class_idx"]), first, last)
         out = signal.istft(signal.beamform(y, target, noise, config.beamformer, config.postfilter), config.stft_size, config.stft_shift, config.stft_fading, int(r["n_samples"]))
-        return pd.DataFrame({"utt": [r["utt"]], "samples": [np.ascontiguousarray(out[lo : lo + n] if config.drop_context else out)]})
+        if config.drop_context:
+            out = out[lo : lo + n]
+            out = np.concatenate([out, np.zeros(n - len(out))])
+        return pd.DataFrame({"utt": [r["utt"]], "samples": [np.ascontiguousarray(out)]})
 
     return both.groupBy("utt").applyInPandas(one, "utt string, samples array<double>")
 
