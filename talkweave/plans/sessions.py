@@ -217,7 +217,7 @@ def _channels(rows: DataFrame) -> DataFrame:
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """What the enhancement gets: three channels of every array, the activity on the arrays' clocks, a noise class."""
-    rows = _prepared_rows(spark, sf_dir)
+    rows = shared.materialise(_prepared_rows(spark, sf_dir))
     _, speakers, _ = _dimensions(_turns(spark, sf_dir))
     return ss.prepared(rows, _channels(rows), _activity(spark, sf_dir, "array", True), speakers, True, True)
 
@@ -235,7 +235,8 @@ FROM chain WHERE mic = CASE WHEN pos % 2 = 0 THEN 'U01' ELSE 'U02' END"""
 
 def channel_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many channels each choice takes of each utterance, and which."""
-    out, rows = None, _prepared_rows(spark, sf_dir)
+    # the chain is worked out once, not for each choice and side of its joins
+    out, rows = None, shared.materialise(_prepared_rows(spark, sf_dir).select("example_id", "reference_array", "audio_path"))
     every = _channels(rows)
     for how in (True, False, "outer_array_mics", "first_array_mics"):
         got = ss.chosen_channels(every, rows.withColumnRenamed("example_id", "utt"), how).groupBy("utt").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat(F.substring("channel", 1, 3), F.lit("."), F.substring("channel", -1, 1)))), ",").alias("channels"))
