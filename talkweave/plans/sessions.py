@@ -63,7 +63,7 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.to_json(F.struct(said(F.col("start_time")).alias("start_time"), said(F.col("end_time")).alias("end_time"), "words", "speaker", "session_id"))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("j")))), lambda x: x["j"]), ",")
     path = shared.path(spark, "transcripts")
-    rows.groupBy(F.col("session_id").alias("of")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("value")).write.partitionBy("of").text(path)
+    sinks.write_documents(rows.groupBy(F.col("session_id").alias("name")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("value")), path)
     got = text.transcripts(spark, path, multi=True)
     long = got.select("session_id", "pos", "speaker", F.explode("start_time").alias("mic", "start"), "end_time")
     return long.select("session_id", "pos", "speaker", "mic", "start", F.element_at("end_time", F.col("mic")).alias("end"))
