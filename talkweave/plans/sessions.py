@@ -287,7 +287,7 @@ def speaker_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tb.speaker_times(turns.select(F.col("session_id").alias("session"), "speaker", worn("start_time").alias("start"), worn("end_time").alias("end")))
     path = shared.path(spark, "speakers")
     sinks.write_speaker_activity(own, per_microphone(spark, sf_dir).withColumnRenamed("session_id", "session").select("session", "mic", "start", "end"), path)
-    got = spark.read.option("wholetext", True).schema("value string, session string").text(path)
+    got = text.documents(spark, path).withColumnRenamed("name", "session")
     long = got.select("session", F.explode(F.from_json("value", "map<string,map<string,struct<start:array<bigint>,end:array<bigint>>>>", {"mode": "FAILFAST"})).alias("name", "_m"))
     long = long.select("session", "name", F.explode("_m").alias("mic", "_t"))
     return long.select("session", "name", "mic", F.explode(F.arrays_zip("_t.start", "_t.end")).alias("x")).select("session", "name", "mic", "x.start", "x.end")
