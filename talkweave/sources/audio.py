@@ -7,7 +7,7 @@ isn't RIFF/WAVE raises; a null content gives a null result.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,31 +124,37 @@ def shape(content: Column) -> Column:
     return of(content)
 
 
-def load(df: DataFrame, start: Column | int = 0, stop: Column | int | None = None, unit: str = "samples", rate: int = 16000, keep: Sequence[str] = ()) -> DataFrame:
-    """(path, channel, samples) of rows (path, content): a row for each channel of ``[start, stop)``, with the columns ``keep``."""
+def load(df: DataFrame, start: Column | int = 0, stop: Column | int | None = None, unit: str = "samples", rate: int = 16000, keep: Sequence[str] = (), more: Mapping[str, tuple[int, int | None]] | None = None) -> DataFrame:
+    """(path, channel, samples) of rows (path, content): a row for each channel of ``[start, stop)``, with the columns ``keep``.
+
+    ``more``: further ranges of the same files, each in a column of its own.
+    """
     if unit not in ("samples", "seconds"):
         raise ValueError(f"no unit {unit!r}")
     scale = rate if unit == "seconds" else 1
     at = [F.round((c if isinstance(c, Column) else F.lit(c)) * scale).cast("bigint") for c in (start, stop)]
+    others = {n: (round(lo * scale), None if hi is None else round(hi * scale)) for n, (lo, hi) in (more or {}).items()}
+    found = ["samples", *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(names)}
-            row, channel, samples = [], [], []
+            row, channel, samples = [], [], [[] for _ in found]
             for i, (c, lo, hi) in enumerate(zip(column["content"], column["_lo"].to_pylist(), column["_hi"].to_pylist())):
-                for k, y in enumerate(read(c.as_py(), lo or 0, hi) if c.is_valid else ()):
+                content = c.as_py()
+                for k, y in enumerate(zip(*(read(content, *r) for r in ((lo or 0, hi), *others.values()))) if c.is_valid else ()):
                     row.append(i)
                     channel.append(k)
-                    samples.append(y)
-            ends = pa.array(np.cumsum([0, *map(len, samples)]).astype(np.int32))
-            values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *samples])))
+                    for to, part in zip(samples, y):
+                        to.append(part)
+            values = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, s)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *s]))) for s in samples]
             took = [column[n].take(pa.array(row, pa.int64())) for n in (*keep, "path")]
-            yield pa.RecordBatch.from_arrays([*took, pa.array(channel, pa.int32()), values], [*keep, "path", "channel", "samples"])
+            yield pa.RecordBatch.from_arrays([*took, pa.array(channel, pa.int32()), *values], [*keep, "path", "channel", *found])
 
     names = [*keep, "path", "content", "_lo", "_hi"]
     own = df.select(*keep, "path", "content", at[0].alias("_lo"), at[1].alias("_hi"))
     fields = [own.schema[n] for n in (*keep, "path")]
-    schema = T.StructType([*fields, T.StructField("channel", T.IntegerType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*fields, T.StructField("channel", T.IntegerType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in found)])
     return own.mapInArrow(run, schema)
 
 
@@ -158,14 +164,44 @@ def load_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode(df: DataFrame, key: str, rate: int = 16000, kind: str = "int16", normalise: bool = False) -> DataFrame:
-    """(key, content, n_clipped): wav files of rows (key, channel, samples), channels in order."""
+    """(key, content, n_clipped): wav files of rows (key, channel, samples), channels in order.
+
+    A key's rows lie together in one part, and files are made of them as they come, many to a batch; no more than one
+    file's rows and a batch are held.
+    """
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("content", T.BinaryType()), T.StructField("n_clipped", T.LongType())])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("channel")
-        x = np.stack([np.asarray(v, float) for v in group["samples"]])
-        return pd.DataFrame({key: [group[key].iloc[0]], "content": [write(x, rate, kind, normalise)], "n_clipped": [0 if normalise else clipped(x)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name, made, size = [], None, [], 0
+
+        def finish() -> None:
+            x = np.stack(held)
+            made.append((name, write(x, rate, kind, normalise), 0 if normalise else clipped(x)))
 
-    return df.select(key, "channel", "samples").groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, content binary, n_clipped bigint")
+        def batch_of(like: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*made))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], like), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], schema.names)
+
+        for batch in batches:
+            like, samples = batch.schema.field(0).type, batch.column(1)
+            if samples.null_count:
+                raise ValueError("a channel has no samples")
+            flat, ends = samples.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), samples.offsets.to_numpy()
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if held and k != name:
+                    finish()
+                    held, size = [], size + len(made[-1][1])
+                    if size > 1 << 23 or len(made) == 10_000:
+                        yield batch_of(like)
+                        made, size = [], 0
+                name = k
+                held.append(flat[ends[i] : ends[i + 1]])
+        if held:
+            finish()
+            yield batch_of(like)
+
+    rows = df.select(key, "channel", "samples").repartition(key).sortWithinPartitions(key, F.col("channel").asc_nulls_last())
+    return rows.select(key, "samples").mapInArrow(run, schema)
 
 
 def scaled(signal: Column) -> Column:
