@@ -7,12 +7,13 @@ pair, so that the root is the next merge; a merge changes three leaves and the
 nodes above them.  Two forms of the same tree are used: for many short pieces
 the trees of all distinct pieces of a batch stand side by side in numpy arrays
 and advance together, one merge each a round; a long piece has a tree of its
-own.  Pieces already seen by a worker process come from a bounded cache, which
-changes no result.
+own.  Pieces already seen by a worker process come from a cache, which changes no
+result and is bounded in bytes too: pieces of more than ``WIDE`` bytes, which
+seldom come again, don't go in.
 
 The vocabulary file (base64 token, rank) is read by the driver from the path
 given and travels to the executors as a broadcast of fixed size (that of the
-vocabulary).
+vocabulary and its pair table, which the workers don't build again).
 
 Cases: a null text gives null tokens, null text back, and ``exact`` null; an
 empty text no tokens.  Texts of any length are encoded whole.  Repeated rows
@@ -38,6 +39,7 @@ POS = 32
 NONE = np.int64(1) << 62
 WIDE = 64
 CACHE = 200_000
+FRESH = 65536
 
 
 class Merges:
@@ -48,27 +50,34 @@ class Merges:
         self.cache: dict[str, bytes] = {}  # of this process only
         ids = {t: i for i, t in enumerate(tokens)}
         self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
-        self.pairs = {(ids[t[:k]], ids[t[k:]]): i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
-        size = 1 << (4 * max(len(self.pairs), 1) - 1).bit_length()
+        pairs = {(ids[t[:k]], ids[t[k:]]): i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        size = 1 << (4 * max(len(pairs), 1) - 1).bit_length()
         self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.slot, self.rank = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        for (a, b), r in self.pairs.items():
+        self.slot, self.rank = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        for (a, b), r in pairs.items():
             at = (((a << 32 | b) * kernel.MULT) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
             while self.slot[at] >= 0:
                 at = (at + 1) % size
             self.slot[at], self.rank[at] = a << 32 | b, r
 
-    def __getstate__(self) -> list[bytes]:
-        return self.tokens
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
 
-    def __setstate__(self, tokens: list[bytes]) -> None:
-        self.__init__(tokens)
+    def rank_of(self, a: int, b: int) -> int:
+        """``ranks`` for one pair."""
+        key, slot = a << 32 | b, self.slot
+        at = ((key * kernel.MULT) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (held := slot.item(at)) != key:
+            if held < 0:
+                return -1
+            at = (at + 1) % len(slot)
+        return self.rank.item(at)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ids of merged pairs; -1 where there is none."""
         key = a << 32 | b
         at = ((key.astype(np.uint64) * np.uint64(kernel.MULT)) >> self.shift).astype(np.int64)
-        out = np.where(self.slot[at] == key, self.rank[at], -1)
+        out = np.where(self.slot[at] == key, self.rank[at], np.int64(-1))
         far = np.flatnonzero((self.slot[at] != key) & (self.slot[at] >= 0))
         while len(far):
             at[far] = (at[far] + 1) % len(self.slot)
@@ -81,18 +90,27 @@ class Merges:
     def encode_long(self, piece: bytes) -> list[int]:
         """One piece with a tree of its own."""
         ids = [int(self.byte[b]) for b in piece]
-        n, pairs = len(ids), self.pairs
+        n, rank_of = len(ids), self.rank_of
         if n < 2:
             return ids
         width = 1 << (n - 2).bit_length()
         none = int(NONE)
+        met: dict[int, int] = {}  # ranks of this piece's pairs
 
         def leaf(i: int, j: int) -> int:
-            r = pairs.get((ids[i], ids[j]), -1) if i >= 0 and j < n else -1
+            if i < 0 or j >= n:
+                return none
+            key = ids[i] << POS | ids[j]
+            if (r := met.get(key)) is None:
+                r = rank_of(ids[i], ids[j])
+                if len(met) < FRESH:
+                    met[key] = r
             return r << POS | i if r >= 0 else none
 
         tree = [none] * (2 * width)
-        tree[width : width + n - 1] = [leaf(i, i + 1) for i in range(n - 1)]
+        first = np.array(ids, np.int64)
+        r = self.ranks(first[:-1], first[1:])
+        tree[width : width + n - 1] = np.where(r >= 0, r << POS | np.arange(n - 1), NONE).tolist()
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
         after, before, low = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << POS) - 1
@@ -209,15 +227,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """int32 tokens of each text, as bytes."""
-        cut = [self.find(t) for t in texts]
+        one: dict[str, str] = {}  # a piece that comes again is held once
+        cut = [[one.setdefault(p, p) for p in self.find(t)] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        fresh = list({p for pieces in cut for p in pieces if p not in cache})
-        for lo in range(0, len(fresh), 65536):
-            part = fresh[lo : lo + 65536]
-            cache.update(zip(part, self.merges.encode_many([p.encode() for p in part])))
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        cache, known = self.cache, {}
+        fresh = []
+        for p in one:
+            if (got := cache.get(p)) is None:
+                fresh.append(p)
+            else:
+                known[p] = got
+        del one
+        for lo in range(0, len(fresh), FRESH):
+            part = fresh[lo : lo + FRESH]
+            raw = [p.encode() for p in part]
+            coded = self.merges.encode_many(raw)
+            known.update(zip(part, coded))
+            cache.update((p, c) for p, r, c in zip(part, raw, coded) if len(r) <= WIDE)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, tokens: np.ndarray) -> str:
         got = self.merges.tokens
@@ -230,6 +258,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.give_back()
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
             for lo, hi in kernel.groups(batch.column(1), 1 << 20):
@@ -243,6 +272,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 offsets = pa.array(ends.astype(np.int32), pa.int32(), mask=np.append(gone, False) if gone.any() else None)
                 tokens = pa.ListArray.from_arrays(offsets, pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, mask=gone), tokens, pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "tokens", "exact"])
+            kernel.give_back()
 
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>, exact boolean")
 

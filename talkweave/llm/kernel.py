@@ -12,6 +12,7 @@ Nulls and empty texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,6 +106,13 @@ def groups(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int]]
         lo, total = hi, int(cut[hi - 1])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process serves one stage after the other and would keep what each had at its peak."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc's
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of some texts, in order: hash, row of the text, byte range in ``data``."""
